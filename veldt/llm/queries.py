@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from veldt.llm.groups import group_sizes, link_groups
 from veldt.llm.kmv import distinct_cube
+from veldt.llm.leaks import leak_report, leaked_passages
+from veldt.llm.sentences import split_sentences
 from veldt.llm.topn import top_n
 from veldt.sources.tables import table
 
@@ -28,7 +30,28 @@ def p6_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return group_sizes(p6_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_distinct_counts, p6_found, p6_group_sizes)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).filter("contains").select("doc_id", "item_id")
+
+
+def p7_edited_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least half of an item, in order, exactly or edited."""
+    return _leaks(spark, d).filter("contains OR similarity >= 0.5")
+
+
+def p7_item_report(spark: SparkSession, d: str) -> DataFrame:
+    return leak_report(p7_edited_copies(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_sentences(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p4_distinct_counts, p6_found, p6_group_sizes, p7_found, p7_edited_copies, p7_item_report, p9_found)}
 
 _GROUPS = """
 WITH RECURSIVE arcs AS (
