@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veldt.llm.groups import group_sizes, link_groups
 from veldt.llm.kmv import distinct_cube
 from veldt.llm.leaks import leak_report, leaked_passages
+from veldt.llm.mixture import mix_sources, mixture_shares
 from veldt.llm.sentences import split_sentences
 from veldt.llm.topn import top_n
 from veldt.sources.tables import table
@@ -47,11 +48,19 @@ def p7_item_report(spark: SparkSession, d: str) -> DataFrame:
     return leak_report(p7_edited_copies(spark, d))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture_shares(*mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_distinct_counts, p6_found, p6_group_sizes, p7_found, p7_edited_copies, p7_item_report, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_distinct_counts, p6_found, p6_group_sizes, p7_found, p7_edited_copies, p7_item_report, p8_mix, p8_shares, p9_found)}
 
 _GROUPS = """
 WITH RECURSIVE arcs AS (
