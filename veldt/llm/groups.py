@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldt.operators.sizing import broadcast_if_small
+from veldt.operators.sizing import BROADCAST_ROWS
 from veldt.plans.materialize import Scratch
 
 
@@ -49,7 +49,7 @@ def _grow(scratch: Scratch, links: DataFrame, vertices: DataFrame, level: int, s
     return out
 
 
-def link_groups(pairs: DataFrame, left: str = "src", right: str = "dst", steps: int = 3, rate: float = 0.7, seed: int = 42, max_levels: int = 200) -> DataFrame:
+def link_groups(pairs: DataFrame, left: str = "src", right: str = "dst", steps: int = 5, rate: float = 0.3, seed: int = 42, max_levels: int = 200) -> DataFrame:
     """(id, component) of every id that is linked with another one; component is its group's smallest id.
 
     Direction, repeats, self-loops and other columns do not matter. Defined results: pairs with a
@@ -61,13 +61,15 @@ def link_groups(pairs: DataFrame, left: str = "src", right: str = "dst", steps:
     links = scratch.write(_distinct_links(pairs.select(F.col(left).cast("long").alias("a"), F.col(right).cast("long").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")), "links-0")
     vertices = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("low", F.col("id"))
     levels: list[tuple[DataFrame, DataFrame]] = []
+    clusters: list[int] = []
     while not links.isEmpty():
         level = len(levels)
         if level == max_levels:
             raise RuntimeError(f"links are left after {max_levels} levels")
         state = _grow(scratch, links, vertices, level, steps, rate, seed)
-        lows = scratch.write(state.groupBy("center").agg(F.min("low").alias("low")), f"lows-{level}")
+        lows = state.groupBy("center").agg(F.min("low").alias("low"))
         levels.append((state, lows))
+        clusters.append(state.filter("id = center").count())
         to = state.select("id", "center")
         between = links.join(to.select(F.col("id").alias("a"), F.col("center").alias("ca")), "a").join(to.select(F.col("id").alias("b"), F.col("center").alias("cb")), "b")
         nearer = scratch.write(_distinct_links(between.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), f"links-{level + 1}")
@@ -83,9 +85,9 @@ def link_groups(pairs: DataFrame, left: str = "src", right: str = "dst", steps:
             to = lows.select("center", F.col("low").alias("component"))
         else:
             to = lows.join(found.select(F.col("id").alias("center"), "component"), "center", "left").select("center", F.coalesce("component", "low").alias("component"))
-            to = scratch.write(to, f"composed-{level}")
         # a group may hold a third of all rows: its side is broadcast where few, else split by AQE
-        found = state.join(broadcast_if_small(to), "center").select("id", "component")
+        side = F.broadcast(to) if clusters[level] <= BROADCAST_ROWS else to
+        found = state.join(side, "center").select("id", "component")
         if level:
             found = scratch.write(found, f"found-{level}")
     return found if found is not None else vertices.select("id", F.col("low").alias("component"))
