@@ -92,6 +92,19 @@ def static_plans(spark: SparkSession):
         spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
+def _fresh_statistics(df: DataFrame) -> DataFrame:
+    """The same checkpointed frame without the size estimate inherited from its plan.
+
+    A join's estimate is the product of its sides', so over supersteps the inherited number gains digits
+    exponentially and planning never ends. Partitioning and order are kept.
+    """
+    jvm, plan = df.sparkSession._jvm, df._jdf.queryExecution().analyzed()
+    none = getattr(jvm.scala, "None$")
+    none = getattr(none, "MODULE$")
+    made = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), none, df.sparkSession._jsparkSession, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(df.sparkSession._jsparkSession, made), df.sparkSession)
+
+
 class StateStore:
     """Generations of iterative state, first in first out, partitioned and sorted by ``key``."""
 
@@ -109,7 +122,7 @@ class StateStore:
         """Partition and sort by ``key``, write, and return the frame that reads it."""
         key = key or self.key
         laid = df.repartition(self.partitions, F.col(key)).sortWithinPartitions(key)
-        kept = laid.checkpoint(eager=True)
+        kept = _fresh_statistics(laid.checkpoint(eager=True))
         self._kept.append(kept)
         return kept
 
