@@ -5,7 +5,7 @@
 2. Every document is scanned once for n-grams of the items (a rolling hash over the whole batch, looked up
    in the items' sorted table), and the document frequency of every n-gram is counted over the corpus.
 3. Seeds are rare n-grams: of each window of the required length in an item, the one that the fewest
-   documents hold. A document that contains the window contains its seed, so seeds lose nothing.
+   documents hold, at least one. A document that contains the window contains its seed, so seeds lose nothing.
 4. Documents that share a seed with an item are aligned with it by Smith-Waterman over units, which scores
    edited and paraphrased copies; the longest common run is measured exactly alongside.
 """
@@ -33,22 +33,27 @@ BY_CHARACTER = frozenset(("zh", "ja"))
 
 
 @cache
-def _invisible() -> re.Pattern[str]:
-    return re.compile("[" + "".join(f"\\U{i:08x}" for i in range(0x110000) if unicodedata.category(chr(i)) == "Cf") + "]")
+def _invisible() -> frozenset[str]:
+    return frozenset(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cf")
 
 
-@cache
-def _broken() -> re.Pattern[str]:
-    """A hyphen directly before a line break, between the halves of a word."""
-    return re.compile(r"(?<=[^\W_])[-‐‑\u00ad](?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])[^\S\n\r]*(?=[^\W_])")
+#: A hyphen directly before a line break, between the halves of a word.
+_BROKEN = re.compile(r"[-‐‑\u00ad](?<=[^\W_].)(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])[^\S\n\r]*(?=[^\W_])", re.DOTALL)
 
 
 def normalise(text: str) -> str:
     """Without case, compatibility forms and invisible characters, broken words joined."""
+    text = _BROKEN.sub("", text)
     if text.isascii():
-        return _broken().sub("", text).lower() if "-" in text else text.lower()
-    text = unicodedata.normalize("NFKC", _broken().sub("", text))
-    text = _broken().sub("", _invisible().sub("", text)).casefold()
+        return text.lower()
+    if hidden := _invisible().intersection(text):
+        text = _BROKEN.sub("", text.translate(dict.fromkeys(map(ord, hidden))))
+    if not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+        if hidden := _invisible().intersection(text):
+            text = text.translate(dict.fromkeys(map(ord, hidden)))
+        text = _BROKEN.sub("", text)
+    text = text.casefold()
     return text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
 
 
@@ -119,13 +124,20 @@ class Items:
         return np.array([get(w, 0) for w in words(text)], dtype=np.int64)
 
     def seeds(self, frequency: np.ndarray) -> list[tuple[int, int]]:
-        """(gram, item): of every window the gram of the lowest document frequency, the first of equal ones."""
+        """(gram, item): of every window the gram that the fewest documents hold, but at least one does.
+
+        Grams that no document holds find nothing; a window with one of them occurs nowhere whole, yet
+        its other grams find edited copies.
+        """
         out = set()
         span = self.window - self.n + 1
         for item, grams in self.grams.items():
             for i in range(max(0, len(grams) - span + 1)):
                 part = grams[i : i + span]
-                out.add((int(part[np.argmin(frequency[part])]), item))
+                counts = frequency[part]
+                best = int(part[np.argmin(np.where(counts > 0, counts, np.iinfo(np.int64).max))])
+                if frequency[best]:
+                    out.add((best, item))
         return sorted(out)
 
 

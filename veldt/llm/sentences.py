@@ -16,6 +16,7 @@ A block's end always ends a span. Offsets are Unicode code points, without outer
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from math import log
 
@@ -43,10 +44,13 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _ITEM = re.compile(r"\d{1,3}[.)]\s+[^\W\d_a-zа-яß-ÿ]")
 _PARAGRAPH = re.compile(r"[\[【]\s*\d{2,6}\s*[\]】]")
 _CAMEL = re.compile(r"[a-z]{1,2}[A-Z]")
-_WORD = re.compile(r"[^\W\d_]+")
 _UNSPACED = re.compile(r"[A-ZÀ-ÞА-Я](?:[^\W\d_A-ZÀ-ÞА-Я]|\s[a-zß-ÿа-я])")
 _NUMBER = re.compile(r"[\d.,:/–-]*\d[\d.,:/–-]*")
-_HEAD = re.compile(r"(?:[\[【]\s*\d+\s*[\]】])?\s*\(?\d{0,4}")
+
+#: Ends that score less are never worth taking: the rest of a span's score varies by less.
+_HOPELESS = -1.0
+#: Likely ends that one span may pass over.
+_REACH = 64
 
 # fixed values: abbreviations after which a sentence goes on
 _ABBREVIATIONS = frozenset(
@@ -125,6 +129,8 @@ def _closing(text: str, start: int, at: int, kind: str, after: int) -> float:
         if token.isupper() and len(previous) > 1 and previous[-1].isalpha():
             return 0.0  # "Sample B."
         return -8.0 if token.islower() or not previous else -4.0
+    if len(token) == 2 and token.isupper() and token[0] == token[1]:
+        return -9.0  # plurals such as "EE. UU."
     if low in _ABBREVIATIONS:
         if _NUMBER.fullmatch(previous) and len(token) <= 2:
             return 0.0
@@ -202,13 +208,14 @@ def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
         out.append((start, end))
         return
     pairs = [m.span() for m in _PAIRS.finditer(text, start, end)] if _HAS_PAIR.search(text, start, end) else []
-    ends = {b for _, b in pairs}
+    ends, begins = {b for _, b in pairs}, [a for a, _ in pairs]
+    opening = set(begins)
     found: list[tuple[int, float]] = []  # possible ends with their scores
     for a, b in marks:
         after, closed = b, False
         while after < end:
             c = text[after]
-            if after + 1 in ends or c in _CLOSERS and not (c == '"' and any(x == after for x, _ in pairs)):
+            if after + 1 in ends or c in _CLOSERS and not (c == '"' and after in opening):
                 after, closed = after + 1, True
             elif c.isspace() and after + 2 in ends and after + 1 < end:
                 after, closed = after + 2, True
@@ -217,14 +224,17 @@ def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
         if after >= end:
             continue
         score = _score(text, start, end, a, b, after, closed)
-        if score > -5:
+        if score > _HOPELESS:
             found.append((after, score))
     found += [(a, 3.0) for a, _ in spaces]
     if not found:
         out.append((start, end))
         return
     found.sort()
-    cut = [(p, s, 6.0 * sum(a < p < b for a, b in pairs)) for p, s in found] if pairs else [(p, s, 0.0) for p, s in found]
+    cut = []
+    for p, s in found:
+        k = bisect_left(begins, p) - 1  # pairs do not overlap: only the last one before may be cut
+        cut.append((p, s, 6.0 if k >= 0 and p < pairs[k][1] else 0.0))
     cut.append((end, 0.0, 0.0))
     letter = [m.start() for m in (_LETTER.search(text, p, end) for p in [start, *(x[0] for x in cut[:-1])]) if m]
     letter += [end] * (len(cut) - len(letter))  # the first letter at or after each possible start
@@ -232,7 +242,7 @@ def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
     starts = [start, *(x[0] for x in cut)]
     for j, (p, s, cuts) in enumerate(cut):
         top, at = -1e18, 0
-        for i in range(j + 1):
+        for i in range(max(0, j + 1 - _REACH), j + 1):
             value = best[i] - cuts
             if letter[i] >= p:
                 value -= 8.0
