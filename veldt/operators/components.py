@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from veldt.functions.gf64 import affine, affine_column
 from veldt.graph import Graph
-from veldt.operators.sizing import broadcast_if_small
-from veldt.plans.materialize import Scratch
+from veldt.operators.sizing import BROADCAST_ROWS, broadcast_if_small
+from veldt.plans.materialize import Scratch, sized_plans
 from veldt.plans.vertex_program import ProgramResult
 
 
@@ -45,7 +45,8 @@ class ConnectedComponents:
         # self-loops and repeats of the first round vanish in its relabelling
         edges = scratch.write(self.graph.edges.select("src", "dst").filter("src <> dst"), "edges-0")
         rounds: list[tuple] = []
-        while not edges.isEmpty():
+        sizes: list[int] = []
+        while left_over := edges.count():
             k = len(rounds)
             a, b = draw.randrange(1, 1 << 64), draw.randrange(1 << 64)
             a, b = (x - (1 << 64) if x >> 63 else x for x in (a, b))
@@ -53,13 +54,15 @@ class ConnectedComponents:
             low = F.least("hs", "hd")
             both = F.array(F.struct(F.col("src").alias("v"), low.alias("rep")), F.struct(F.col("dst").alias("v"), low.alias("rep")))
             reps = edges.withColumns({"hs": hs, "hd": hd}).select(F.explode(both).alias("x")).groupBy(F.col("x.v").alias("v")).agg(F.min("x.rep").alias("rep"))
-            reps = scratch.write(reps, f"reps-{k}")
-            left = edges.join(reps.select(F.col("v").alias("src"), F.col("rep").alias("rs")), "src").select("rs", "dst")
-            pair = left.join(reps.select(F.col("v").alias("dst"), F.col("rep").alias("rd")), "dst").filter("rs <> rd")
-            nearer = scratch.write(pair.select(F.least("rs", "rd").alias("src"), F.greatest("rs", "rd").alias("dst")).distinct(), f"edges-{k + 1}")
+            with sized_plans(spark, left_over):
+                reps = scratch.write(reps, f"reps-{k}")
+                left = edges.join(reps.select(F.col("v").alias("src"), F.col("rep").alias("rs")), "src").select("rs", "dst")
+                pair = left.join(reps.select(F.col("v").alias("dst"), F.col("rep").alias("rd")), "dst").filter("rs <> rd")
+                nearer = scratch.write(pair.select(F.least("rs", "rd").alias("src"), F.greatest("rs", "rd").alias("dst")).distinct(), f"edges-{k + 1}")
             scratch.drop(f"edges-{k}")
             edges = nearer
             rounds.append((reps, a, b))
+            sizes.append(2 * left_over)  # at most so many vertices have edges
         scratch.drop(f"edges-{len(rounds)}")
 
         ids = self.graph.vertices.select("id")
@@ -72,8 +75,10 @@ class ConnectedComponents:
             # what round k + 1 does not hold passes through all bijections after round k
             acc_a, acc_b = affine(acc_a, a, 0), affine(acc_a, b, acc_b)
             later = frontier.select(F.col("v").alias("rep"), F.col("rep").alias("last"))
-            older = rounds[k][0].join(broadcast_if_small(later), "rep", "left")
-            frontier = scratch.write(older.select("v", F.coalesce("last", affine_column(acc_a, F.col("rep"), acc_b)).alias("rep")), f"back-{k}")
+            with sized_plans(spark, sizes[k]):
+                side = F.broadcast(later) if sizes[k + 1] <= BROADCAST_ROWS else later
+                older = rounds[k][0].join(side, "rep", "left")
+                frontier = scratch.write(older.select("v", F.coalesce("last", affine_column(acc_a, F.col("rep"), acc_b)).alias("rep")), f"back-{k}")
         found = ids.join(frontier.select(F.col("v").alias("id"), "rep"), "id", "left").select("id", F.coalesce("rep", "id").alias("component"), F.col("rep").isNull().alias("alone"))
         if not self._labels:
             return ProgramResult(found.select("id", "component"), len(rounds))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veldt.graph import Graph, simple_arcs
-from veldt.plans.materialize import Scratch
+from veldt.plans.materialize import Scratch, sized_plans
 from veldt.plans.vertex_program import ProgramResult
 
 
@@ -38,7 +38,7 @@ class MaximalIndependentSet:
         arcs = scratch.write(known.select("src", "dst"), "arcs-0")
         state = scratch.write(ids.select("id", F.lit(0.5).alias("p")), "state-0")
         members, k = [], 0
-        while not arcs.isEmpty():
+        while left_over := arcs.count():
             if k == self._cap:
                 raise RuntimeError(f"edges are left after {self._cap} rounds")
             chance = (F.shiftrightunsigned(F.xxhash64(F.lit(self._seed), F.lit(k), "id"), 11).cast("double")) / F.lit(float(2**53))
@@ -47,14 +47,15 @@ class MaximalIndependentSet:
             judged = drawn.join(around, "id", "left")
             joins = F.col("d").isNull() | (F.col("nominated") & ~F.col("rival"))
             p = F.when(F.col("d") >= 2, F.col("p") / 2).otherwise(F.least(F.col("p") * 2, F.lit(0.5)))
-            judged = scratch.write(judged.select("id", p.alias("p"), joins.alias("joins")), f"judged-{k}")
-            joined = judged.filter("joins").select("id")
-            members.append(joined)
-            hit = arcs.join(joined.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
-            left = scratch.write(judged.filter("NOT joins").select("id", "p").join(hit, "id", "left_anti"), f"state-{k + 1}")
-            stay = left.select("id")
-            nearer = arcs.join(stay.select(F.col("id").alias("src")), "src", "left_semi").join(stay.select(F.col("id").alias("dst")), "dst", "left_semi")
-            nearer = scratch.write(nearer.select("src", "dst"), f"arcs-{k + 1}")
+            with sized_plans(spark, left_over):
+                judged = scratch.write(judged.select("id", p.alias("p"), joins.alias("joins")), f"judged-{k}")
+                joined = judged.filter("joins").select("id")
+                members.append(joined)
+                hit = arcs.join(joined.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+                left = scratch.write(judged.filter("NOT joins").select("id", "p").join(hit, "id", "left_anti"), f"state-{k + 1}")
+                stay = left.select("id")
+                nearer = arcs.join(stay.select(F.col("id").alias("src")), "src", "left_semi").join(stay.select(F.col("id").alias("dst")), "dst", "left_semi")
+                nearer = scratch.write(nearer.select("src", "dst"), f"arcs-{k + 1}")
             scratch.drop(f"arcs-{k}")
             scratch.drop(f"state-{k}")
             arcs, state, k = nearer, left, k + 1

@@ -92,6 +92,25 @@ def static_plans(spark: SparkSession):
         spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
+@contextmanager
+def sized_plans(spark: SparkSession, rows: int, per_partition: int = 100_000, most: int = 4):
+    """Static plans with few partitions for what has few rows left, adaptive ones otherwise.
+
+    Late rounds of a contraction are all overhead: re-planning after every stage costs more than the data.
+    """
+    parts = max(1, -(-rows // per_partition))
+    if parts > most:
+        yield
+        return
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        with static_plans(spark):
+            yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def _fresh_statistics(df: DataFrame) -> DataFrame:
     """The same checkpointed frame without the size estimate inherited from its plan.
 

@@ -2,8 +2,8 @@
 
 Two layouts of the loop:
 
-* ``static``: edges stay partitioned and sorted by source, the state by id, both written with
-  ``checkpoint()``; adaptive execution is off, so a superstep has one exchange, that of the messages.
+* ``static``: edges are written, then cached partitioned and sorted by source, the state is checkpointed by
+  id; adaptive execution is off, so a superstep has one exchange, that of the messages.
 * ``adaptive``: edges and state are written as parquet and joined under adaptive execution, which
   splits the partitions of hub vertices.
 
@@ -17,6 +17,7 @@ from contextlib import nullcontext
 from dataclasses import dataclass
 from enum import Enum
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -235,11 +236,18 @@ class VertexProgram:
             most = self.graph.edges.groupBy(SRC).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
             layout = "adaptive" if most[1] and most[0] > max(1_000_000, self._hub_share * most[1]) else "static"
         if layout == "static":
-            states, fixed = StateStore(spark), StateStore(spark)
+            states, scratch = StateStore(spark), Scratch(spark, "vertex-program")
             save = states.push
-            keep_edges = lambda df: fixed.push(df, _EDGE + SRC)
+
+            def keep_edges(df: DataFrame) -> DataFrame:
+                # read in every superstep: cached by column; lost blocks come back from the written table
+                return scratch.write(df, "edges").repartition(states.partitions, F.col(_EDGE + SRC)).sortWithinPartitions(_EDGE + SRC).persist(StorageLevel.MEMORY_AND_DISK)
+
             drop_old = lambda: states.evict_all_but_latest(1)
-            drop_edges = fixed.purge
+
+            def drop_edges() -> None:
+                edges.unpersist()
+                scratch.drop("edges")
         else:
             scratch, count = Scratch(spark, "vertex-program"), iter(range(1 << 62))
             save = lambda df: scratch.write(df, f"state-{next(count)}")
