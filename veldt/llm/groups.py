@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldt.operators.sizing import BROADCAST_ROWS
-from veldt.plans.materialize import Scratch
+from veldt.plans.materialize import Scratch, sized_plans
 
 
 def _distinct_links(links: DataFrame) -> DataFrame:
@@ -62,17 +62,20 @@ def link_groups(pairs: DataFrame, left: str = "src", right: str = "dst", steps:
     vertices = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("low", F.col("id"))
     levels: list[tuple[DataFrame, DataFrame]] = []
     clusters: list[int] = []
-    while not links.isEmpty():
+    sizes: list[int] = []
+    while left_over := links.count():
         level = len(levels)
         if level == max_levels:
             raise RuntimeError(f"links are left after {max_levels} levels")
-        state = _grow(scratch, links, vertices, level, steps, rate, seed)
-        lows = state.groupBy("center").agg(F.min("low").alias("low"))
-        levels.append((state, lows))
-        clusters.append(state.filter("id = center").count())
-        to = state.select("id", "center")
-        between = links.join(to.select(F.col("id").alias("a"), F.col("center").alias("ca")), "a").join(to.select(F.col("id").alias("b"), F.col("center").alias("cb")), "b")
-        nearer = scratch.write(_distinct_links(between.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), f"links-{level + 1}")
+        with sized_plans(spark, left_over):
+            state = _grow(scratch, links, vertices, level, steps, rate, seed)
+            lows = state.groupBy("center").agg(F.min("low").alias("low"))
+            levels.append((state, lows))
+            clusters.append(state.filter("id = center").count())
+            sizes.append(2 * left_over)  # at most so many vertices are linked
+            to = state.select("id", "center")
+            between = links.join(to.select(F.col("id").alias("a"), F.col("center").alias("ca")), "a").join(to.select(F.col("id").alias("b"), F.col("center").alias("cb")), "b")
+            nearer = scratch.write(_distinct_links(between.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), f"links-{level + 1}")
         scratch.drop(f"links-{level}")
         links = nearer
         ends = links.select(F.explode(F.array("a", "b")).alias("center")).distinct()
@@ -89,7 +92,8 @@ def link_groups(pairs: DataFrame, left: str = "src", right: str = "dst", steps:
         side = F.broadcast(to) if clusters[level] <= BROADCAST_ROWS else to
         found = state.join(side, "center").select("id", "component")
         if level:
-            found = scratch.write(found, f"found-{level}")
+            with sized_plans(spark, sizes[level]):
+                found = scratch.write(found, f"found-{level}")
     return found if found is not None else vertices.select("id", F.col("low").alias("component"))
 
 
