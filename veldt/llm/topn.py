@@ -20,7 +20,7 @@ def _best(df: DataFrame) -> DataFrame:
     return df.groupBy("grp", "item").agg(F.max("score").alias("score"))
 
 
-def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 10, heavy_rows: int = 200_000) -> DataFrame:
+def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 10, heavy_rows: int = 50_000) -> DataFrame:
     """(group, item, score, rank): each group's ``n`` items of highest score, ties by the smaller item.
 
     An item's score in a group is its highest there. Defined results: rows with a null group or
