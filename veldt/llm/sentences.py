@@ -35,6 +35,7 @@ _PAIRS = re.compile(
 _HAS_PAIR = re.compile(r"[„‚«»“‘\"「『(（\[【《]")
 _CLOSERS = frozenset("\"”’»)]}」』】〉》）］｝›")
 _OPENERS = frozenset("\"“„«»‘‚(（「『[【《‹¿¡")
+_EMPHASIS = frozenset("*_`~")
 _FULL = frozenset("。！？｡．")
 _DANDA = frozenset("।॥۔។")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -45,6 +46,7 @@ _ITEM = re.compile(r"\d{1,3}[.)]\s+[^\W\d_a-zа-яß-ÿ]")
 _PARAGRAPH = re.compile(r"[\[【]\s*\d{2,6}\s*[\]】]")
 _CAMEL = re.compile(r"[a-z]{1,2}[A-Z]")
 _UNSPACED = re.compile(r"[A-ZÀ-ÞА-Я](?:[^\W\d_A-ZÀ-ÞА-Я]|\s[a-zß-ÿа-я])")
+_CAPITALS = re.compile(r"[A-ZÀ-ÞА-Я]+\s+[A-ZÀ-ÞА-Я]{2}")
 _NUMBER = re.compile(r"[\d.,:/–-]*\d[\d.,:/–-]*")
 
 #: Ends that score less are never worth taking: the rest of a span's score varies by less.
@@ -73,8 +75,9 @@ _GOES_ON = re.compile(
 
 def _opening(text: str, n: int, end: int) -> tuple[float, str]:
     """Score and kind of the word at ``n`` as the first of a sentence."""
-    c = text[n]
-    quoted = False
+    while text[n] in _EMPHASIS and n + 1 < end:
+        n += 1
+    c, quoted = text[n], False
     if c in _OPENERS:
         if _PARAGRAPH.match(text, n):
             return 4.0, "paragraph"
@@ -187,6 +190,8 @@ def _score(text: str, start: int, end: int, a: int, b: int, after: int, closed:
     if not spaced:
         if _CJK.match(text, n):
             return -8.0 if not closed or _GOES_ON.match(text, n) else 2.0
+        if a - 3 >= start and text[a - 3 : a].isalpha() and text[a - 3 : a].islower() and _CAPITALS.match(text, n):
+            return 1.5
         if _UNSPACED.match(text, n) and (prev.islower() or prev.isdigit() or not prev.isalnum() or closed or a - 2 >= start and not text[a - 2].isalpha()):
             return 1.5 + _closing(text, start, a, "upper", after)
         if c in _OPENERS and not closed and n + 1 < end and _UNSPACED.match(text, n + 1) and c not in "([":
@@ -217,6 +222,8 @@ def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
             c = text[after]
             if after + 1 in ends or c in _CLOSERS and not (c == '"' and after in opening):
                 after, closed = after + 1, True
+            elif c in _EMPHASIS and (after + 1 == end or text[after + 1].isspace()):
+                after += 1
             elif c.isspace() and after + 2 in ends and after + 1 < end:
                 after, closed = after + 2, True
             else:
