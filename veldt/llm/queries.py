@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt.llm.groups import group_sizes, link_groups
-from veldt.llm.kmv import distinct_cube
+from veldt.llm.kmv import cube_sets, distinct_cube
 from veldt.llm.leaks import leak_report, leaked_passages
 from veldt.llm.mixture import mix_sources, mixture_shares
 from veldt.llm.sentences import split_sentences
@@ -23,6 +23,12 @@ def p4_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
     return distinct_cube(e, ["day", "relation", "feed"], ("src", "dst"), table(spark, d, "vertices"))
 
 
+def p4_exact_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of :func:`p4_distinct_counts` for sets below k ids, which are exact."""
+    x = p4_distinct_counts(spark, d).filter("what IN ('src', 'dst', 'union') AND estimate > 0 AND lower = upper")
+    return x.select("by", F.date_format("day", "yyyy-MM-dd").alias("day"), "relation", "feed", "what", "scope", "estimate")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return link_groups(table(spark, d, "edges").filter("relation = 'same_as'"))
 
@@ -60,7 +66,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_distinct_counts, p6_found, p6_group_sizes, p7_found, p7_edited_copies, p7_item_report, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_distinct_counts, p4_exact_groups, p6_found, p6_group_sizes, p7_found, p7_edited_copies, p7_item_report, p8_mix, p8_shares, p9_found)}
 
 _GROUPS = """
 WITH RECURSIVE arcs AS (
@@ -72,7 +78,22 @@ reach(id, label) AS (
 groups AS (SELECT id, min(label) AS component FROM reach GROUP BY id)
 """
 
+_DIMS = ("day", "relation", "feed")
+_COUNTS = """
+WITH x AS (SELECT strftime(ts, '%Y-%m-%d') AS day, relation, feed, 'src' AS what, src AS id FROM edges UNION ALL SELECT strftime(ts, '%Y-%m-%d'), relation, feed, 'dst', dst FROM edges),
+y AS (SELECT * FROM x UNION ALL SELECT day, relation, feed, 'union', id FROM x),
+z AS (SELECT *, 'all' AS scope FROM y WHERE id IS NOT NULL UNION ALL SELECT *, 'known' FROM y WHERE id IN (SELECT id FROM vertices))
+"""
+
+
+def _grouped(dims: tuple[str, ...]) -> str:
+    columns = ", ".join(c if c in dims else f"CAST(NULL AS VARCHAR) AS {c}" for c in _DIMS)
+    keys = ", ".join((*dims, "what", "scope"))
+    return f"""SELECT '{",".join(dims)}' AS "by", {columns}, what, scope, CAST(count(DISTINCT id) AS DOUBLE) AS estimate FROM z GROUP BY {keys} HAVING count(DISTINCT id) < 4096"""
+
+
 SQL = {
+    "p4_exact_groups": _COUNTS + " UNION ALL ".join(map(_grouped, cube_sets(list(_DIMS)))),
     "p2_found": """
 SELECT community, id FROM (
   SELECT community, id, row_number() OVER (PARTITION BY community ORDER BY score DESC, id) AS r
