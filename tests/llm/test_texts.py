@@ -40,7 +40,7 @@ def test_sentences_with_spaces(want):
     "want",
     [
         ["显示屏提示“停止！请取出。”之后，阀门被固定。", "标签上写有‘小心！易碎。’字样的盒子应连接。", "操作者听到“就绪。”", "本发明涉及3.5毫米的No.4转子……", "是否导电？", "是。"],
-        ["表示部に「停止！外す。」と表示される。", "（説明は省略する。）", "弁は必要か？", "否。", "比は約0.9倍である……", "軸受は3.5である．"],
+        ["表示部に「停止！外す。」と表示される。", "比は約2倍である……", "「弁か？」という問いである……", "（説明は省略する。）", "弁は必要か？", "否。", "比は約0.9倍である……", "軸受は3.5である．"],
     ],
 )
 def test_sentences_without_spaces(want):

@@ -167,8 +167,10 @@ def _score(text: str, start: int, end: int, a: int, b: int, after: int, closed:
         return 4.0 if not (c.islower() and c.isascii()) or not closed else -4.0
     dots = b - a
     if mark == "…" or dots > 1 and set(text[a:b]) == {"."}:
-        if _CJK.match(text, n):
-            return -8.0 if closed and _GOES_ON.match(text, n) else (3.0 if mark == "…" else -4.0)
+        if mark == "…" and _CJK.match(prev) or _CJK.match(text, n):
+            if c in "、，；,;" or closed and _GOES_ON.match(text, n):
+                return -8.0
+            return 3.0 if mark == "…" else -4.0
         if prev.isspace() and not closed:
             return -8.0
         score, kind = _opening(text, n, end)
