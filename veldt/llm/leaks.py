@@ -149,15 +149,27 @@ def align(doc: np.ndarray, item: np.ndarray, match: int = 2, mismatch: int = 1,
     n = len(doc)
     if not n or not len(item):
         return 0, 0
-    slope = gap * np.arange(n)
-    above, run = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
-    best = longest = 0
+    doc = doc.astype(np.int32)
+    slope = gap * np.arange(n, dtype=np.int32)
+    above, run, longest = np.zeros(n + 1, dtype=np.int32), np.zeros(n + 1, dtype=np.int32), 0
+    step, here, best = np.empty(n, dtype=np.int32), np.empty(n, dtype=np.int32), 0
     for code in item.tolist():
-        same = (doc == code) & (code > 0)
-        here = np.maximum(np.maximum(above[:-1] + np.where(same, match, -mismatch), above[1:] - gap), 0)
-        above[1:] = np.maximum.accumulate(here + slope) - slope
-        run[1:] = np.where(same, run[:-1] + 1, 0)
-        best, longest = max(best, int(above.max())), max(longest, int(run.max()))
+        same = doc == code if code > 0 else np.zeros(n, dtype=bool)
+        np.multiply(same, match + mismatch, out=step)
+        step += above[:-1]
+        step -= mismatch
+        np.subtract(above[1:], gap, out=here)
+        np.maximum(step, here, out=here)
+        np.maximum(here, 0, out=here)
+        here += slope
+        np.maximum.accumulate(here, out=here)
+        np.subtract(here, slope, out=above[1:])
+        best = max(best, int(above.max()))
+        if same.any():
+            run[1:] = (run[:-1] + 1) * same
+            longest = max(longest, int(run.max()))
+        else:
+            run[:] = 0
     return best, longest
 
 
