@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldt.llm.tokens import slices
 from veldt.operators.sizing import broadcast_if_small
 from veldt.plans.materialize import Scratch
 
@@ -178,7 +179,7 @@ def _scan(docs: DataFrame, key: str, text: str, blocks: list[Items]) -> DataFram
     kind = docs.schema[key].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [normalise(t) if t else "" for t in batch.column(1).to_pylist()]
             for b, items in enumerate(blocks):
                 if not len(items.table):
@@ -204,7 +205,7 @@ def _aligned(found: DataFrame, key: str, text: str, blocks: list[Items]) -> Data
     kind = found.schema[key].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             index, out = [], []
             for r, (value, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 clean = normalise(value or "")

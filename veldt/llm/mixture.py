@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldt.llm.tokens import PATTERN, RANKS, with_tokens
@@ -208,6 +209,7 @@ def mixture_shares(mix: DataFrame, plan: list[SourcePlan]) -> DataFrame:
         "source string, target_share double, max_repeats int, documents long, tokens long",
     )
     used = mix.groupBy("source").agg(F.count(F.lit(1)).alias("chosen"), F.max("repeats").alias("most_repeats"), F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"))
+    # at most one row per target source: a window over all of them reads the mixture once
+    whole = F.sum("mixed_tokens").over(W.partitionBy())
     joined = told.join(F.broadcast(used), "source", "left").fillna(0, ["chosen", "most_repeats", "mixed_tokens"])
-    total = used.agg(F.sum("mixed_tokens").alias("all_tokens"))
-    return joined.crossJoin(F.broadcast(total)).withColumn("reached_share", F.try_divide("mixed_tokens", "all_tokens")).drop("all_tokens")
+    return joined.withColumn("reached_share", F.try_divide("mixed_tokens", whole))

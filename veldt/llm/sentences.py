@@ -23,6 +23,8 @@ from math import log
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from veldt.llm.tokens import slices
+
 _NL = r"(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])"
 _H = r"[^\S\n\r\x0b\x0c\x85\u2028\u2029]*"
 _BLANK = re.compile(rf"{_H}(?:{_NL}{_H}{_NL}\s*|\u2029\s*)")
@@ -304,7 +306,7 @@ def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     kind = picked.schema[key].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             index: list[int] = []
             starts: list[int] = []
             ends: list[int] = []

@@ -35,6 +35,13 @@ def count_tokens(text: str | None, ranks: str = RANKS, pattern: str = PATTERN) -
         return len(encoding(ranks, pattern).encode_ordinary(text.encode("utf-8", "replace").decode("utf-8")))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows: as Python strings, long texts take several times their size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def with_tokens(df: DataFrame, keys: list[tuple[str, Column]], text: str = "text", ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """The named ``keys`` and ``tokens`` (long) of every row. Narrow: no shuffle."""
     picked = df.select(*(c.alias(k) for k, c in keys), df[text].alias("__text"))
@@ -42,7 +49,7 @@ def with_tokens(df: DataFrame, keys: list[tuple[str, Column]], text: str = "text
     schema = T.StructType([*(picked.schema[k] for k in names), T.StructField("tokens", T.LongType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts = [count_tokens(t, ranks, pattern) for t in batch.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(counts, pa.int64())], names=[*names, "tokens"])
 
