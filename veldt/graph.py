@@ -126,6 +126,8 @@ class Graph:
 
         return LabelPropagation(self)
 
+    classical_lp = label_propagation
+
     def connected_components(self):
         from veldt.operators.components import ConnectedComponents
 
