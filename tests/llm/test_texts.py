@@ -57,6 +57,9 @@ def test_other_scripts():
 def test_blocks_and_numbers():
     text = "TITLE\n \n[0001] A coil. It works.\r\n\r\n1. A valve\nof steel.\n\n2. Use of it. 3. A pump.\n\nm . v²/2 . . .\n\n 　"
     assert units(text) == ["TITLE", "[0001] A coil.", "It works.", "1. A valve\nof steel.", "2. Use of it.", "3. A pump.", "m . v²/2 . . ."]
+    for end in ("\n", "\r\n", "\r"):
+        assert units(f"One line{end}and its rest. Next.{end}{end}Last{end}") == [f"One line{end}and its rest.", "Next.", "Last"]
+    assert units(" " * 300_000 + "x") == ["x"]
     assert units(None) == units("") == units(" \n\n\t 　") == []
     assert units("...") == ["..."] and units("a") == ["a"]
 

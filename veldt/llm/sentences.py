@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 
 from veldt.llm.tokens import slices
 
-_NL = r"(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])"
+_NL = r"(?:\r\n|\r(?!\n)|[\n\x0b\x0c\x85\u2028\u2029])"
 _H = r"[^\S\n\r\x0b\x0c\x85\u2028\u2029]*"
-_BLANK = re.compile(rf"{_H}(?:{_NL}{_H}{_NL}\s*|\u2029\s*)")
+_BLANK = re.compile(rf"{_NL}{_H}{_NL}\s*|\u2029\s*")
 _MARKS = re.compile(r"[.!?…。！？．｡।॥؟۔‼⁇⁈⁉។]+")
 _THAI = re.compile(r"(?<=[ก-ฺเ-๎ກ-໎ក-៓])[^\S\n\r\x0b\x0c\x85\u2028\u2029]+(?=[ก-ฺเ-๎ກ-໎ក-៓])")
 _PAIRS = re.compile(
