@@ -192,3 +192,15 @@ def test_heavy_hitters_and_profile(spark):
                 assert (total is None and not w) or abs(total - sum(w)) < 1e-9
         assert not got
     assert heavy_hitters(df.limit(0), ["src"], 0.01).count() == 0 and degree_profile(df.limit(0)).count() == 0
+
+
+def test_orphans_without_broadcast(spark, monkeypatch):
+    """Beyond the size check suspects are shuffled; the result is the same."""
+    import veldt.operators.sizing as sizing
+
+    v = spark.createDataFrame([(1, day(5), day(9), "k"), (2, day(1), None, "k")], VERSIONS)
+    e = spark.createDataFrame([(k, k % 4, 2, day(1 + k)) for k in range(20)], "edge_id long, src long, dst long, loaded_at timestamp_ntz")
+    found = lambda: sorted(tuple(x) for x in orphan_references(v, [References(e, "edges", "edge_id", ("src", "dst"), "loaded_at")]).collect())
+    want = found()
+    monkeypatch.setattr(sizing, "small", lambda *a, **k: False)
+    assert found() == want and {x[3] for x in want} == {"missing", "late", "deleted"}
