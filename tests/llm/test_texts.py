@@ -159,6 +159,16 @@ def test_edited_copies_are_scored(spark):
     assert row.doc_id == 1 and not row.contains and row.longest_run == 6 and 0.5 < row.similarity < 1
 
 
+def test_edited_copies_beside_exact_ones(spark):
+    passage = [f"u{k}" for k in range(40)]
+    docs = [(0, "before " + " ".join(passage) + " after")]
+    docs += [(q, "before " + " ".join("other" if k % q == q - 1 else w for k, w in enumerate(passage)) + " after") for q in (6, 7, 8, 9)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(9, " ".join(passage), "en")], "item_id long, text string, lang string")
+    assert {r.doc_id: r.contains for r in leaked_passages(d, i).collect()} == {0: True, 6: False, 7: False, 8: False, 9: False}
+    assert {r.doc_id for r in leaked_passages(d, i, edited=False).filter("contains").collect()} == {0}
+
+
 def test_flight_keeps_totals():
     """Both totals stay as planned up to the at most two documents that are open at the end."""
     r = np.random.default_rng(5)

@@ -4,8 +4,10 @@
    letters and digits. Test items are held on every executor in blocks of checked size.
 2. Every document is scanned once for n-grams of the items (a rolling hash over the whole batch, looked up
    in the items' sorted table), and the document frequency of every n-gram is counted over the corpus.
-3. Seeds are rare n-grams: of each window of the required length in an item, the one that the fewest
-   documents hold, at least one. A document that contains the window contains its seed, so seeds lose nothing.
+3. For whole passages, seeds are rare n-grams: of each window of the required length in an item, the one that
+   the fewest documents hold, at least one. A document that contains the window contains its seed, so seeds
+   lose nothing. For edited copies every n-gram of an item is a seed: the rare ones are just those that an
+   edited copy beside an exact one does not hold. Documents are then aligned where they are scanned.
 4. Documents that share a seed with an item are aligned with it by Smith-Waterman over units, which scores
    edited and paraphrased copies; the longest common run is measured exactly alongside.
 """
@@ -103,7 +105,16 @@ class Items:
         self.table = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams.values()]))
         self.table = self.table[self.table > 0]
         self.grams = {i: np.searchsorted(self.table, g[: max(0, len(g) - n + 1)]) for i, g in grams.items()}
+        self.ids, self.lengths = list(self.codes), np.array([len(c) for c in self.codes.values()], dtype=np.int64)
+        #: n-grams that a copy must share
+        self.least = np.ones(len(self.ids), dtype=np.int64)
+        held = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(g) * len(self.ids) + k for k, g in enumerate(self.grams.values()))]))
+        #: where the items of each n-gram begin, and their places
+        self.owners = np.searchsorted(held, np.arange(len(self.table) + 1) * len(self.ids)), held % max(1, len(self.ids))
         self.any_latin = by_character and any(not _CJK.search("".join(map(chr, x))) for c in self.codes.values() for x in self._windows(c))
+        if by_character and not self.any_latin:  # half of an item may be a copy too
+            cjk = np.array([0, *(bool(_CJK.match(chr(u))) for u in self.vocabulary)])
+            self.any_latin = any(2 * cjk[c].sum() <= len(c) for c in self.codes.values())
         self._lookup: np.ndarray | None = None  # made where it is used, so that tasks stay small
 
     def _windows(self, codes: np.ndarray) -> Iterator[list[int]]:
@@ -142,36 +153,71 @@ class Items:
         return sorted(out)
 
 
-def align(doc: np.ndarray, item: np.ndarray, match: int = 2, mismatch: int = 1, gap: int = 1) -> tuple[int, int]:
-    """(Smith-Waterman score, longest common run) of two code sequences; code 0 matches nothing.
+def _padded(docs: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(docs), max(map(len, docs))), dtype=np.int32)
+    for row, doc in zip(out, docs, strict=True):
+        row[: len(doc)] = doc
+    return out
+
+
+def _chunks(docs: list[np.ndarray], cells: int = 32_768) -> Iterator[list[int]]:
+    """Places of documents of like length, so that a chunk's padded rows stay within the cache."""
+    chunk: list[int] = []
+    for i in sorted(range(len(docs)), key=lambda i: len(docs[i])):
+        if chunk and (len(chunk) + 1) * len(docs[i]) > cells:
+            yield chunk
+            chunk = []
+        chunk.append(i)
+    if chunk:
+        yield chunk
 
-    A row of the matrix at a time: gaps along the row are a running maximum.
+
+def scores(docs: list[np.ndarray], item: np.ndarray, match: int = 2, mismatch: int = 1, gap: int = 1) -> np.ndarray:
+    """Smith-Waterman score of every code sequence with the item; code 0 matches nothing.
+
+    A row of the matrix of many documents at a time: gaps along the row are a running maximum.
     """
-    n = len(doc)
-    if not n or not len(item):
-        return 0, 0
-    doc = doc.astype(np.int32)
-    slope = gap * np.arange(n, dtype=np.int32)
-    above, run, longest = np.zeros(n + 1, dtype=np.int32), np.zeros(n + 1, dtype=np.int32), 0
-    step, here, best = np.empty(n, dtype=np.int32), np.empty(n, dtype=np.int32), 0
-    for code in item.tolist():
-        same = doc == code if code > 0 else np.zeros(n, dtype=bool)
-        np.multiply(same, match + mismatch, out=step)
-        step += above[:-1]
-        step -= mismatch
-        np.subtract(above[1:], gap, out=here)
-        np.maximum(step, here, out=here)
-        np.maximum(here, 0, out=here)
-        here += slope
-        np.maximum.accumulate(here, out=here)
-        np.subtract(here, slope, out=above[1:])
-        best = max(best, int(above.max()))
-        if same.any():
-            run[1:] = (run[:-1] + 1) * same
-            longest = max(longest, int(run.max()))
-        else:
-            run[:] = 0
-    return best, longest
+    out = np.zeros(len(docs), dtype=np.int64)
+    for chunk in _chunks(docs) if len(item) else ():
+        doc = _padded([docs[i] for i in chunk])
+        rows, n = doc.shape
+        kind = np.int16 if gap * n + match * len(item) < 30_000 else np.int32
+        slope = (gap * np.arange(n)).astype(kind)
+        above = np.zeros((rows, n + 1), dtype=kind)
+        step, here, best = np.empty((rows, n), dtype=kind), np.empty((rows, n), dtype=kind), np.zeros((rows, n), dtype=kind)
+        for code in item.tolist():
+            same = doc == code if code > 0 else np.zeros(doc.shape, dtype=bool)
+            np.multiply(same, kind(match + mismatch), out=step)
+            step += above[:, :-1]
+            step -= kind(mismatch)
+            np.subtract(above[:, 1:], kind(gap), out=here)
+            np.maximum(step, here, out=here)
+            np.maximum(here, kind(0), out=here)
+            here += slope
+            np.maximum.accumulate(here, axis=1, out=here)
+            np.subtract(here, slope, out=above[:, 1:])
+            np.maximum(best, above[:, 1:], out=best)
+        out[chunk] = best.max(axis=1, initial=0)
+    return out
+
+
+def longest_runs(docs: list[np.ndarray], item: np.ndarray) -> np.ndarray:
+    """Longest common run of every code sequence with the item; code 0 matches nothing."""
+    out = np.zeros(len(docs), dtype=np.int64)
+    for chunk in _chunks(docs):
+        doc = _padded([docs[i] for i in chunk])
+        run, longest = np.zeros((len(doc), doc.shape[1] + 1), dtype=np.int32), np.zeros(len(doc), dtype=np.int32)
+        for code in item.tolist():
+            same = doc == code if code > 0 else np.zeros(doc.shape, dtype=bool)
+            run[:, 1:] = (run[:, :-1] + 1) * same
+            np.maximum(longest, run.max(axis=1), out=longest)
+        out[chunk] = longest
+    return out
+
+
+def align(doc: np.ndarray, item: np.ndarray, match: int = 2, mismatch: int = 1, gap: int = 1) -> tuple[int, int]:
+    """(Smith-Waterman score, longest common run) of two code sequences; code 0 matches nothing."""
+    return int(scores([doc], item, match, mismatch, gap)[0]), int(longest_runs([doc], item)[0])
 
 
 def _scan(docs: DataFrame, key: str, text: str, blocks: list[Items]) -> DataFrame:
@@ -206,18 +252,22 @@ def _aligned(found: DataFrame, key: str, text: str, blocks: list[Items]) -> Data
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            index, out = [], []
+            near: dict[tuple[int, int], tuple[list[int], list[np.ndarray]]] = {}
             for r, (value, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 clean = normalise(value or "")
                 codes: dict[int, np.ndarray] = {}
                 for x in wanted:
-                    items = blocks[x["block"]]
                     if x["block"] not in codes:
-                        codes[x["block"]] = items.read(clean)
-                    item = items.codes[x["item"]]
-                    score, longest = align(codes[x["block"]], item)
+                        codes[x["block"]] = blocks[x["block"]].read(clean)
+                    at, texts = near.setdefault((x["block"], x["item"]), ([], []))
+                    at.append(r)
+                    texts.append(codes[x["block"]])
+            index, out = [], []
+            for (b, item_id), (at, texts) in near.items():
+                items, item = blocks[b], blocks[b].codes[item_id]
+                for r, score, longest in zip(at, scores(texts, item).tolist(), longest_runs(texts, item).tolist(), strict=True):
                     index.append(r)
-                    out.append((x["item"], "characters" if items.by_character else "words", score / (2 * len(item)), longest, longest >= items.window))
+                    out.append((item_id, "characters" if items.by_character else "words", score / (2 * len(item)), longest, longest >= items.window))
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             types = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[key, "item_id", "unit", "similarity", "longest_run", "contains"])
@@ -225,6 +275,63 @@ def _aligned(found: DataFrame, key: str, text: str, blocks: list[Items]) -> Data
     return found.mapInArrow(rows, f"`{key}` {kind}, item_id long, unit string, similarity double, longest_run int, contains boolean")
 
 
+def _likely(items: Items, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, item) places of the pairs that share enough n-grams close together.
+
+    Enough is ``items.least`` of the item, close is within twice its length: a copy of similarity 0.5 or more spans no more.
+    """
+    flat = np.concatenate([x for c in codes for x in (c, np.zeros(1, np.int64))])
+    grams = _grams(flat, items.n)
+    at = np.flatnonzero(grams)
+    place = np.minimum(np.searchsorted(items.table, grams[at]), len(items.table) - 1)
+    hit = items.table[place] == grams[at]
+    at, place = at[hit], place[hit]
+    first, owners = items.owners
+    count = first[place + 1] - first[place]
+    # every hit once per item that holds the n-gram
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    item, at = owners[np.repeat(first[place], count) + nth], np.repeat(at, count)
+    of = np.repeat(np.arange(len(codes)), [len(c) + 1 for c in codes])[at]
+    order = np.lexsort((at, item, of))
+    item, at, of = item[order], at[order], of[order]
+    # the hit with which there would be enough, counted from each
+    last = np.arange(len(at)) + items.least[item] - 1
+    able = np.flatnonzero(last < len(at))
+    last = last[able]
+    near = (of[last] == of[able]) & (item[last] == item[able]) & (at[last] - at[able] <= 2 * items.lengths[item[able]])
+    pairs = np.unique(of[able[near]] * len(items.lengths) + item[able[near]])
+    return pairs // len(items.lengths), pairs % len(items.lengths)
+
+
+def _resembling(docs: DataFrame, key: str, text: str, blocks: list[Items], similarity: float) -> DataFrame:
+    """The rows of :func:`leaked_passages` with edited copies: documents are scanned and aligned in one pass."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = [normalise(t) if t else "" for t in batch.column(1).to_pylist()]
+            for items in blocks:
+                if not len(items.table):
+                    continue
+                codes = [items.read(t) for t in texts]
+                of, which = _likely(items, codes)
+                unit = "characters" if items.by_character else "words"
+                index, out = [], []
+                for w in np.unique(which).tolist():
+                    item_id, item = items.ids[w], items.codes[items.ids[w]]
+                    at = of[which == w]
+                    near = [codes[i] for i in at.tolist()]
+                    for i, score, longest in zip(at.tolist(), scores(near, item).tolist(), longest_runs(near, item).tolist(), strict=True):
+                        if longest >= items.window or score >= similarity * 2 * len(item):
+                            index.append(i)
+                            out.append((item_id, unit, score / (2 * len(item)), longest, longest >= items.window))
+                columns = list(zip(*out, strict=True)) if out else [()] * 5
+                types = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[key, "item_id", "unit", "similarity", "longest_run", "contains"])
+
+    return docs.select(key, text).mapInArrow(rows, f"`{key}` {kind}, item_id long, unit string, similarity double, longest_run int, contains boolean")
+
+
 def leaked_passages(
     docs: DataFrame,
     items: DataFrame,
@@ -239,8 +346,14 @@ def leaked_passages(
     n: int = 5,
     n_characters: int = 12,
     block_items: int = 20_000,
+    edited: bool = True,
+    similarity: float = 0.5,
 ) -> DataFrame:
-    """(key, item_id, unit, similarity, longest_run, contains) of every document and item with a common seed.
+    """(key, item_id, unit, similarity, longest_run, contains) of every document and item it holds a passage of.
+
+    With ``edited``, every n-gram of an item is a seed and the rows are those that contain a passage or reach
+    ``similarity``, in one narrow pass. Without, the rows are those with a common rare seed: all that
+    contain a passage, and no promise for edited copies.
 
     ``contains``: the document holds at least ``window`` consecutive words of the item, for zh and ja
     items ``window_characters`` consecutive letters or digits; similarity is the alignment score
@@ -250,12 +363,14 @@ def leaked_passages(
     executor holds does not grow with their number.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "leaks")
     listed = [(r[0], r[1], (r[2] or "").strip().lower()[:2]) for r in items.select(F.col(item).cast("long"), item_text, item_lang).filter(F.col(item_text).isNotNull()).toLocalIterator()]
     blocks = []
     for by_character, size, gram in ((False, window, n), (True, window_characters, n_characters)):
         mine = [r for r in listed if (r[2] in BY_CHARACTER) == by_character]
         blocks += [Items(mine[i : i + block_items], by_character, gram, size) for i in range(0, len(mine), block_items)]
+    if edited:
+        return _resembling(docs, key, text, blocks, similarity)
+    scratch = Scratch(spark, "leaks")
     hits = scratch.write(_scan(docs, key, text, blocks), "hits")
     # at most one row per n-gram of the items
     frequency = [np.zeros(max(1, len(b.table)), dtype=np.int64) for b in blocks]

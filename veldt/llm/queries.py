@@ -37,17 +37,17 @@ def p6_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return group_sizes(p6_found(spark, d))
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+def _leaks(spark: SparkSession, d: str, edited: bool) -> DataFrame:
+    return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"), edited=edited)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).filter("contains").select("doc_id", "item_id")
+    return _leaks(spark, d, edited=False).filter("contains").select("doc_id", "item_id")
 
 
 def p7_edited_copies(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold at least half of an item, in order, exactly or edited."""
-    return _leaks(spark, d).filter("contains OR similarity >= 0.5")
+    return _leaks(spark, d, edited=True).filter("contains OR similarity >= 0.5")
 
 
 def p7_item_report(spark: SparkSession, d: str) -> DataFrame:
