@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from veldt.llm.leaks import align, leak_report, leaked_passages, normalise, points, words
+from veldt.llm.leaks import align, leak_report, leaked_passages, normalise, points, scores, words
 from veldt.llm.mixture import Flight, SourcePlan, mix_sources, mixture_shares, plan_mixture
 from veldt.llm.sentences import sentence_units, split_sentences
 from veldt.llm.tokens import RANKS, count_tokens
@@ -169,6 +169,29 @@ def test_edited_copies_beside_exact_ones(spark):
     assert {r.doc_id for r in leaked_passages(d, i, edited=False).filter("contains").collect()} == {0}
 
 
+def test_densely_edited_copies(spark):
+    passage, signs = [f"u{k}" for k in range(60)], [chr(0x4E00 + k) for k in range(60)]
+    change = lambda units, q, other: [other if k % q == q - 1 else u for k, u in enumerate(units)]
+    docs = [(q, "before " + " ".join(change(passage, q, "other")) + " after") for q in (3, 4, 5, 12)]
+    docs += [(100 + q, "前" + "".join(change(signs, q, "龍")) + "後") for q in (4, 5, 12)]
+    docs += [(200, " ".join(w for k, w in enumerate(passage) if k % 3)), (201, " ".join(f"{a} {b} between" for a, b in zip(passage[::2], passage[1::2], strict=True)))]
+    docs += [(300, "so the short item stands here"), (301, "nothing of either")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(1, " ".join(passage), "en"), (2, "".join(signs), "zh"), (3, "the short item stands", "en")], "item_id long, text string, lang string")
+    found = {(r.doc_id, r.item_id): (r.contains, r.similarity) for r in leaked_passages(d, i).collect()}
+    assert set(found) == {(3, 1), (4, 1), (5, 1), (12, 1), (104, 2), (105, 2), (112, 2), (200, 1), (201, 1), (300, 3)}
+    assert all(s >= 0.5 for _, s in found.values()) and not found[300, 3][0]
+
+
+def test_scores_that_matter_are_whole():
+    r = random.Random(4)
+    docs = [np.array([r.randrange(5) for _ in range(r.randrange(1, 60))]) for _ in range(200)]
+    items = [np.array([r.randrange(1, 5) for _ in range(r.randrange(10, 30))]) for _ in range(200)]
+    full, least = scores(docs, items), np.array([len(i) for i in items])
+    early = scores(docs, items, least=least)
+    assert ((early >= least) == (full >= least)).all() and (early[full >= least] == full[full >= least]).all() and 0 < (full >= least).sum() < 200
+
+
 def test_flight_keeps_totals():
     """Both totals stay as planned up to the at most two documents that are open at the end."""
     r = np.random.default_rng(5)

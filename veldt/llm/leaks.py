@@ -7,7 +7,11 @@
 3. For whole passages, seeds are rare n-grams: of each window of the required length in an item, the one that
    the fewest documents hold, at least one. A document that contains the window contains its seed, so seeds
    lose nothing. For edited copies every n-gram of an item is a seed: the rare ones are just those that an
-   edited copy beside an exact one does not hold. Documents are then aligned where they are scanned.
+   edited copy beside an exact one does not hold; pairs of units are seeds too, where enough of them are close
+   together. With x edits (each a changed, missing or added unit) a copy with m matches shares m - x - 1 pairs at
+   least. Similarity 0.5 means 2 m - x >= length, so that without added units m - x is a third of the item at
+   least. Asked for are a quarter of the item's words, a third less one of its letters. Documents are then aligned
+   where they are scanned.
 4. Documents that share a seed with an item are aligned with it by Smith-Waterman over units, which scores
    edited and paraphrased copies; the longest common run is measured exactly alongside.
 """
@@ -153,63 +157,81 @@ class Items:
         return sorted(out)
 
 
-def _padded(docs: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(docs), max(map(len, docs))), dtype=np.int32)
-    for row, doc in zip(out, docs, strict=True):
-        row[: len(doc)] = doc
+def _padded(rows: list[np.ndarray], filler: int) -> np.ndarray:
+    out = np.full((len(rows), max(map(len, rows))), filler, dtype=np.int32)
+    for row, codes in zip(out, rows, strict=True):
+        row[: len(codes)] = codes
     return out
 
 
-def _chunks(docs: list[np.ndarray], cells: int = 32_768) -> Iterator[list[int]]:
-    """Places of documents of like length, so that a chunk's padded rows stay within the cache."""
+def _chunks(docs: list[np.ndarray], items: list[np.ndarray], cells: int = 32_768) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Places, documents and items of pairs of like lengths, so that a chunk's padded rows stay within the cache; pairs with an empty side are left out."""
+
+    def made(chunk: list[int]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        return chunk, _padded([np.where(docs[i] > 0, docs[i], -2) for i in chunk], -2), _padded([items[i] for i in chunk], -1)
+
     chunk: list[int] = []
-    for i in sorted(range(len(docs)), key=lambda i: len(docs[i])):
-        if chunk and (len(chunk) + 1) * len(docs[i]) > cells:
-            yield chunk
+    kind = lambda i: (len(items[i]) // 32, len(docs[i]))
+    for i in sorted((i for i in range(len(docs)) if len(docs[i]) and len(items[i])), key=kind):
+        if chunk and ((len(chunk) + 1) * len(docs[i]) > cells or kind(chunk[0])[0] != kind(i)[0]):
+            yield made(chunk)
             chunk = []
         chunk.append(i)
     if chunk:
-        yield chunk
+        yield made(chunk)
 
 
-def scores(docs: list[np.ndarray], item: np.ndarray, match: int = 2, mismatch: int = 1, gap: int = 1) -> np.ndarray:
-    """Smith-Waterman score of every code sequence with the item; code 0 matches nothing.
+def scores(docs: list[np.ndarray], items: list[np.ndarray], match: int = 2, mismatch: int = 1, gap: int = 1, least: np.ndarray | None = None) -> np.ndarray:
+    """Smith-Waterman score of every document's codes with those of its item; code 0 matches nothing.
 
-    A row of the matrix of many documents at a time: gaps along the row are a running maximum.
+    A row of the matrix of many pairs at a time: gaps along the row are a running maximum, by doubling.
+    A pair that cannot reach its score of ``least`` any more is left; what it has then is below it too.
     """
     out = np.zeros(len(docs), dtype=np.int64)
-    for chunk in _chunks(docs) if len(item) else ():
-        doc = _padded([docs[i] for i in chunk])
+    for chunk, doc, item in _chunks(docs, items):
         rows, n = doc.shape
-        kind = np.int16 if gap * n + match * len(item) < 30_000 else np.int32
+        places, lengths = np.array(chunk), (item > -1).sum(axis=1).astype(np.int64)
+        wanted = lengths if least is None else least[places]
+        kind = np.int16 if gap * n + match * item.shape[1] < 30_000 else np.int32
         slope = (gap * np.arange(n)).astype(kind)
         above = np.zeros((rows, n + 1), dtype=kind)
-        step, here, best = np.empty((rows, n), dtype=kind), np.empty((rows, n), dtype=kind), np.zeros((rows, n), dtype=kind)
-        for code in item.tolist():
-            same = doc == code if code > 0 else np.zeros(doc.shape, dtype=bool)
-            np.multiply(same, kind(match + mismatch), out=step)
+        step, here, best = (np.zeros((rows, n), dtype=kind) for _ in range(3))
+        for k in range(item.shape[1]):
+            np.multiply(doc == item[:, k : k + 1], kind(match + mismatch), out=step)
             step += above[:, :-1]
             step -= kind(mismatch)
             np.subtract(above[:, 1:], kind(gap), out=here)
             np.maximum(step, here, out=here)
             np.maximum(here, kind(0), out=here)
+            top, reach = int(here.max()), 1
             here += slope
-            np.maximum.accumulate(here, axis=1, out=here)
+            while reach * gap <= top and reach < n:  # a gap that costs more than the best score leaves nothing
+                step[:, :reach] = here[:, :reach]
+                np.maximum(here[:, reach:], here[:, :-reach], out=step[:, reach:])
+                here, step, reach = step, here, 2 * reach
             np.subtract(here, slope, out=above[:, 1:])
             np.maximum(best, above[:, 1:], out=best)
-        out[chunk] = best.max(axis=1, initial=0)
+            if least is not None and k % 8 == 7:
+                reached = best.max(axis=1)
+                alive = np.maximum(above.max(axis=1) + match * (lengths - k - 1), reached) >= wanted
+                if 4 * alive.sum() < 3 * len(alive):
+                    out[places[~alive]] = reached[~alive]
+                    if not alive.any():
+                        break
+                    doc, item, above, best, places, lengths, wanted = (x[alive] for x in (doc, item, above, best, places, lengths, wanted))
+                    step, here = np.empty_like(best), np.empty_like(best)
+        else:
+            out[places] = best.max(axis=1)
     return out
 
 
-def longest_runs(docs: list[np.ndarray], item: np.ndarray) -> np.ndarray:
-    """Longest common run of every code sequence with the item; code 0 matches nothing."""
+def longest_runs(docs: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
+    """Longest common run of every document's codes with those of its item; code 0 matches nothing."""
     out = np.zeros(len(docs), dtype=np.int64)
-    for chunk in _chunks(docs):
-        doc = _padded([docs[i] for i in chunk])
+    for chunk, doc, item in _chunks(docs, items):
         run, longest = np.zeros((len(doc), doc.shape[1] + 1), dtype=np.int32), np.zeros(len(doc), dtype=np.int32)
-        for code in item.tolist():
-            same = doc == code if code > 0 else np.zeros(doc.shape, dtype=bool)
-            run[:, 1:] = (run[:, :-1] + 1) * same
+        for k in range(item.shape[1]):
+            run[:, 1:] = (run[:, :-1] + 1) * (doc == item[:, k : k + 1])
             np.maximum(longest, run.max(axis=1), out=longest)
         out[chunk] = longest
     return out
@@ -217,7 +239,7 @@ def longest_runs(docs: list[np.ndarray], item: np.ndarray) -> np.ndarray:
 
 def align(doc: np.ndarray, item: np.ndarray, match: int = 2, mismatch: int = 1, gap: int = 1) -> tuple[int, int]:
     """(Smith-Waterman score, longest common run) of two code sequences; code 0 matches nothing."""
-    return int(scores([doc], item, match, mismatch, gap)[0]), int(longest_runs([doc], item)[0])
+    return int(scores([doc], [item], match, mismatch, gap)[0]), int(longest_runs([doc], [item])[0])
 
 
 def _scan(docs: DataFrame, key: str, text: str, blocks: list[Items]) -> DataFrame:
@@ -252,22 +274,20 @@ def _aligned(found: DataFrame, key: str, text: str, blocks: list[Items]) -> Data
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            near: dict[tuple[int, int], tuple[list[int], list[np.ndarray]]] = {}
+            index, which, texts = [], [], []
             for r, (value, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 clean = normalise(value or "")
                 codes: dict[int, np.ndarray] = {}
                 for x in wanted:
                     if x["block"] not in codes:
                         codes[x["block"]] = blocks[x["block"]].read(clean)
-                    at, texts = near.setdefault((x["block"], x["item"]), ([], []))
-                    at.append(r)
-                    texts.append(codes[x["block"]])
-            index, out = [], []
-            for (b, item_id), (at, texts) in near.items():
-                items, item = blocks[b], blocks[b].codes[item_id]
-                for r, score, longest in zip(at, scores(texts, item).tolist(), longest_runs(texts, item).tolist(), strict=True):
                     index.append(r)
-                    out.append((item_id, "characters" if items.by_character else "words", score / (2 * len(item)), longest, longest >= items.window))
+                    which.append((blocks[x["block"]], x["item"]))
+                    texts.append(codes[x["block"]])
+            wanted = [items.codes[i] for items, i in which]
+            out = []
+            for (items, i), score, longest in zip(which, scores(texts, wanted).tolist(), longest_runs(texts, wanted).tolist(), strict=True):
+                out.append((i, "characters" if items.by_character else "words", score / (2 * len(items.codes[i])), longest, longest >= items.window))
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             types = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[key, "item_id", "unit", "similarity", "longest_run", "contains"])
@@ -275,11 +295,13 @@ def _aligned(found: DataFrame, key: str, text: str, blocks: list[Items]) -> Data
     return found.mapInArrow(rows, f"`{key}` {kind}, item_id long, unit string, similarity double, longest_run int, contains boolean")
 
 
-def _likely(items: Items, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, item) places of the pairs that share enough n-grams close together.
+def _likely(items: Items, codes: list[np.ndarray], least: int | None = None, within: int | None = None) -> np.ndarray:
+    """Pairs that share enough n-grams close together, as document place times number of items plus item place.
 
     Enough is ``items.least`` of the item, close is within twice its length: a copy of similarity 0.5 or more spans no more.
     """
+    if not len(items.table):
+        return np.zeros(0, np.int64)
     flat = np.concatenate([x for c in codes for x in (c, np.zeros(1, np.int64))])
     grams = _grams(flat, items.n)
     at = np.flatnonzero(grams)
@@ -295,36 +317,36 @@ def _likely(items: Items, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
     order = np.lexsort((at, item, of))
     item, at, of = item[order], at[order], of[order]
     # the hit with which there would be enough, counted from each
-    last = np.arange(len(at)) + items.least[item] - 1
+    last = np.arange(len(at)) + (items.least[item] if least is None else least) - 1
     able = np.flatnonzero(last < len(at))
     last = last[able]
-    near = (of[last] == of[able]) & (item[last] == item[able]) & (at[last] - at[able] <= 2 * items.lengths[item[able]])
-    pairs = np.unique(of[able[near]] * len(items.lengths) + item[able[near]])
-    return pairs // len(items.lengths), pairs % len(items.lengths)
+    near = (of[last] == of[able]) & (item[last] == item[able]) & (at[last] - at[able] <= (2 * items.lengths[item[able]] if within is None else within))
+    return np.unique(of[able[near]] * len(items.lengths) + item[able[near]])
 
 
-def _resembling(docs: DataFrame, key: str, text: str, blocks: list[Items], similarity: float) -> DataFrame:
+def _resembling(docs: DataFrame, key: str, text: str, blocks: list[tuple[Items, Items]], similarity: float) -> DataFrame:
     """The rows of :func:`leaked_passages` with edited copies: documents are scanned and aligned in one pass."""
     kind = docs.schema[key].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [normalise(t) if t else "" for t in batch.column(1).to_pylist()]
-            for items in blocks:
-                if not len(items.table):
-                    continue
+            for items, short in blocks:
                 codes = [items.read(t) for t in texts]
-                of, which = _likely(items, codes)
-                unit = "characters" if items.by_character else "words"
-                index, out = [], []
-                for w in np.unique(which).tolist():
-                    item_id, item = items.ids[w], items.codes[items.ids[w]]
-                    at = of[which == w]
-                    near = [codes[i] for i in at.tolist()]
-                    for i, score, longest in zip(at.tolist(), scores(near, item).tolist(), longest_runs(near, item).tolist(), strict=True):
-                        if longest >= items.window or score >= similarity * 2 * len(item):
-                            index.append(i)
-                            out.append((item_id, unit, score / (2 * len(item)), longest, longest >= items.window))
+                pairs = np.union1d(_likely(items, codes), _likely(short, codes))
+                seeded = _likely(items, codes, items.window - items.n + 1, items.window - items.n)
+                of, which = pairs // max(1, len(items.ids)), pairs % max(1, len(items.ids))
+                unit, length = "characters" if items.by_character else "words", items.lengths
+                sequences = list(items.codes.values())
+                # without as many n-grams on end no passage is contained
+                least = np.where(np.isin(pairs, seeded), np.minimum(similarity * 2 * length[which], 2 * items.window), similarity * 2 * length[which])
+                score = scores([codes[i] for i in of.tolist()], [sequences[w] for w in which.tolist()], least=least)
+                good = score >= np.minimum(similarity * 2 * length[which], 2 * items.window)  # a run scores twice its length at least
+                of, which, score = of[good], which[good], score[good]
+                runs = longest_runs([codes[i] for i in of.tolist()], [sequences[w] for w in which.tolist()])
+                good = (runs >= items.window) | (score >= similarity * 2 * length[which])
+                index = of[good]
+                out = [(items.ids[w], unit, s / (2 * int(length[w])), run, run >= items.window) for w, s, run in zip(which[good].tolist(), score[good].tolist(), runs[good].tolist(), strict=True)]
                 columns = list(zip(*out, strict=True)) if out else [()] * 5
                 types = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[key, "item_id", "unit", "similarity", "longest_run", "contains"])
@@ -357,8 +379,11 @@ def leaked_passages(
 
     ``contains``: the document holds at least ``window`` consecutive words of the item, for zh and ja
     items ``window_characters`` consecutive letters or digits; similarity is the alignment score
-    as a share of a full copy's. Defined results: null and empty texts match nothing, as do items shorter
-    than the window; repeated documents give repeated rows; other columns are not read; an empty table on
+    as a share of a full copy's. Out of reach are edited copies with m matches and x edits where m - x - 1 is
+    below a quarter of the item's words, a third less one of its letters, and that share no n-gram of ``n`` or
+    ``n_characters`` either: those with units added at most places, items of under four units with a change,
+    and items of one unit. Defined results: null and empty texts match nothing, items shorter than the window are
+    not contained in any; repeated documents give repeated rows; other columns are not read; an empty table on
     either side gives an empty result. Items are processed in blocks of ``block_items``, so that what an
     executor holds does not grow with their number.
     """
@@ -369,7 +394,10 @@ def leaked_passages(
         mine = [r for r in listed if (r[2] in BY_CHARACTER) == by_character]
         blocks += [Items(mine[i : i + block_items], by_character, gram, size) for i in range(0, len(mine), block_items)]
     if edited:
-        return _resembling(docs, key, text, blocks, similarity)
+        pairs = [(b, Items([r for r in listed if r[0] in b.codes], b.by_character, 2, b.window)) for b in blocks]
+        for _, short in pairs:
+            short.least = np.maximum(1, short.lengths // 4 if not short.by_character else -(-short.lengths // 3) - 1)
+        return _resembling(docs, key, text, pairs, similarity)
     scratch = Scratch(spark, "leaks")
     hits = scratch.write(_scan(docs, key, text, blocks), "hits")
     # at most one row per n-gram of the items

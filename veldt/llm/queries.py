@@ -46,7 +46,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_edited_copies(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold at least half of an item, in order, exactly or edited."""
+    """Documents that hold at least half of an item, in order, exactly or edited.
+
+    Not found are copies with units added at most places; see :func:`leaked_passages`.
+    """
     return _leaks(spark, d, edited=True).filter("contains OR similarity >= 0.5")
 
 
