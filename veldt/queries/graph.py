@@ -2,34 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt.functions.gf64 import affine_column
 from veldt.functions.reducers import h_index, hll_estimate, hll_union, hll_union_agg, mode_min
-from veldt.graph import simple_arcs
+from veldt.graph import Graph, simple_arcs
 from veldt.plans.vertex_program import MessageDirection, dst, msg, src
 from veldt.sources.derived import event_chain, links, parts_seq, trade
 from veldt.sources.tables import table
 
 LANDMARKS = (7, 94)
+#: of the whole edges table: one that reaches much of it, and a hub that much of it reaches
+LINKS_LANDMARKS = (501, 39)
+Source = Callable[[SparkSession, str], Graph]
 A, B = 0x1234567890ABCDEF, 0x0FEDCBA987654321
 
 
-def num_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return parts_seq(spark, d).vertices.agg(F.count(F.lit(1)).alias("nodes"))
+def num_nodes(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
+    return graph(spark, d).vertices.agg(F.count(F.lit(1)).alias("nodes"))
 
 
-def num_edges(spark: SparkSession, d: str) -> DataFrame:
-    return parts_seq(spark, d).edges.agg(F.count(F.lit(1)).alias("edges"))
+def num_edges(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
+    return graph(spark, d).edges.agg(F.count(F.lit(1)).alias("edges"))
 
 
-def in_degrees(spark: SparkSession, d: str) -> DataFrame:
-    return parts_seq(spark, d).in_degrees()
+def in_degrees(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
+    return graph(spark, d).in_degrees()
 
 
-def in_degrees_zero(spark: SparkSession, d: str) -> DataFrame:
-    return parts_seq(spark, d).in_degrees(include_zero=True)
+def in_degrees_zero(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
+    return graph(spark, d).in_degrees(include_zero=True)
 
 
 def out_degrees(spark: SparkSession, d: str) -> DataFrame:
@@ -50,25 +56,23 @@ def symmetrize_simple(spark: SparkSession, d: str) -> DataFrame:
 
 def triplets(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "edges").select("src", "dst", "relation")
-    from veldt.graph import Graph
-
     v = table(spark, d, "vertices").filter("id IS NOT NULL").groupBy("id").agg(F.min("name").alias("name"))
     t = Graph(v, e).triplets()
     return t.groupBy(F.col("src_vertex.name").alias("src_name"), F.col("edge.relation").alias("relation"), F.col("dst_vertex").isNull().alias("dangling")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def vertex_program_in_degree(spark: SparkSession, d: str) -> DataFrame:
-    p = parts_seq(spark, d).vertex_program().max_iterations(1).skip_dest_state()
+def vertex_program_in_degree(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
+    p = graph(spark, d).vertex_program().max_iterations(1).skip_dest_state()
     return p.add_vertex_column("degree", F.lit(0).cast("long"), F.coalesce(msg(), F.lit(0).cast("long"))).add_message(F.lit(1), MessageDirection.SRC_TO_DST).add_aggregate_expr(F.sum(msg())).run().df
 
 
-def vertex_program_out_degree(spark: SparkSession, d: str) -> DataFrame:
-    p = parts_seq(spark, d).vertex_program().max_iterations(1)
+def vertex_program_out_degree(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
+    p = graph(spark, d).vertex_program().max_iterations(1)
     return p.add_vertex_column("degree", F.lit(0).cast("long"), F.coalesce(msg(), F.lit(0).cast("long"))).add_message(F.lit(1), MessageDirection.DST_TO_SRC).add_aggregate_expr(F.sum(msg())).run().df
 
 
-def vertex_program_named_messages(spark: SparkSession, d: str) -> DataFrame:
-    p = parts_seq(spark, d).vertex_program().max_iterations(1)
+def vertex_program_named_messages(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
+    p = graph(spark, d).vertex_program().max_iterations(1)
     zero = F.lit(0).cast("long")
     return (
         p.add_vertex_column("key", F.col("id"), F.col("key"))
@@ -85,8 +89,8 @@ def vertex_program_named_messages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def vertex_program_bidirectional(spark: SparkSession, d: str) -> DataFrame:
-    p = trade(spark, d).vertex_program().max_iterations(2)
+def vertex_program_bidirectional(spark: SparkSession, d: str, graph: Source = trade) -> DataFrame:
+    p = graph(spark, d).vertex_program().max_iterations(2)
     one = F.lit(1).cast("long")
     return p.add_vertex_column("walks", one, F.coalesce(msg(), F.lit(0).cast("long"))).add_message(src("walks") + dst("walks"), MessageDirection.BIDIRECTIONAL).add_aggregate_expr(F.sum(msg())).run().df
 
@@ -95,66 +99,66 @@ def _ranked(df: DataFrame) -> DataFrame:
     return df.select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
-def pagerank_fixed(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(parts_seq(spark, d).pagerank().max_iter(10).tol(0.0).run().df)
+def pagerank_fixed(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
+    return _ranked(graph(spark, d).pagerank().max_iter(10).tol(0.0).run().df)
 
 
-def pagerank_pruned(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(parts_seq(spark, d).pagerank().max_iter(8).tol(0.01).run().df)
+def pagerank_pruned(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
+    return _ranked(graph(spark, d).pagerank().max_iter(8).tol(0.01).run().df)
 
 
-def pagerank_converged(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(parts_seq(spark, d).pagerank().tol(0.01).run().df)
+def pagerank_converged(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
+    return _ranked(graph(spark, d).pagerank().tol(0.01).run().df)
 
 
-def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    return parts_seq(spark, d).shortest_paths(list(LANDMARKS)).run().df
+def shortest_paths(spark: SparkSession, d: str, graph: Source = parts_seq, landmarks: tuple[int, ...] = LANDMARKS) -> DataFrame:
+    return graph(spark, d).shortest_paths(list(landmarks)).run().df
 
 
-def shortest_paths_to(spark: SparkSession, d: str) -> DataFrame:
-    return parts_seq(spark, d).shortest_paths(list(LANDMARKS)).to_landmarks().run().df
+def shortest_paths_to(spark: SparkSession, d: str, graph: Source = parts_seq, landmarks: tuple[int, ...] = LANDMARKS) -> DataFrame:
+    return graph(spark, d).shortest_paths(list(landmarks)).to_landmarks().run().df
 
 
-def kcore(spark: SparkSession, d: str) -> DataFrame:
-    return parts_seq(spark, d).k_core().run().df
+def kcore(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
+    return graph(spark, d).k_core().run().df
 
 
 def kcore_dense(spark: SparkSession, d: str) -> DataFrame:
     return trade(spark, d, dense=True).k_core().run().df
 
 
-def label_propagation(spark: SparkSession, d: str) -> DataFrame:
-    return parts_seq(spark, d).label_propagation().max_iter(5).run().df
+def label_propagation(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
+    return graph(spark, d).label_propagation().max_iter(5).run().df
 
 
-def label_propagation_directed(spark: SparkSession, d: str) -> DataFrame:
-    return parts_seq(spark, d).label_propagation().bidirectional(False).max_iter(4).run().df
+def label_propagation_directed(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
+    return graph(spark, d).label_propagation().bidirectional(False).max_iter(4).run().df
 
 
-def wcc(spark: SparkSession, d: str) -> DataFrame:
-    return parts_seq(spark, d).connected_components().run().df
+def wcc(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
+    return graph(spark, d).connected_components().run().df
 
 
 def wcc_chains(spark: SparkSession, d: str) -> DataFrame:
     return event_chain(spark, d).connected_components().run().df
 
 
-def wcc_partition(spark: SparkSession, d: str) -> DataFrame:
-    x = parts_seq(spark, d).connected_components().use_labels(False).run().df
+def wcc_partition(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
+    x = graph(spark, d).connected_components().use_labels(False).run().df
     return x.groupBy("component").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("components"))
 
 
-def hyperanf_hops2(spark: SparkSession, d: str) -> DataFrame:
-    return parts_seq(spark, d).hyperanf().n_hops(2).run().df
+def hyperanf_hops2(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
+    return graph(spark, d).hyperanf().n_hops(2).run().df
 
 
-def hyperanf_undirected(spark: SparkSession, d: str) -> DataFrame:
-    return parts_seq(spark, d).hyperanf().n_hops(1).directed(False).run().df
+def hyperanf_undirected(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
+    return graph(spark, d).hyperanf().n_hops(1).directed(False).run().df
 
 
-def mis_invariants(spark: SparkSession, d: str) -> DataFrame:
+def mis_invariants(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
     """Members linked with each other, and vertices that are neither members nor linked with one: none."""
-    g = parts_seq(spark, d)
+    g = graph(spark, d)
     members = g.maximal_independent_set().run().df
     arcs = simple_arcs(g.edges)
     a = members.select(F.col("id").alias("src"))
@@ -200,6 +204,15 @@ QUERIES = {
     )
 }
 
+#: The operators that above run on graphs of filtered rows, over every row of the edges table.
+QUERIES |= {
+    f"links_{f.__name__}": partial(f, graph=links)
+    for f in (
+        num_nodes, num_edges, in_degrees, in_degrees_zero, vertex_program_in_degree, vertex_program_out_degree, vertex_program_named_messages, vertex_program_bidirectional,
+        pagerank_fixed, pagerank_pruned, pagerank_converged, kcore, label_propagation, label_propagation_directed, wcc, wcc_partition, hyperanf_hops2, hyperanf_undirected, mis_invariants,
+    )
+} | {f"links_{f.__name__}": partial(f, graph=links, landmarks=LINKS_LANDMARKS) for f in (shortest_paths, shortest_paths_to)}
+
 _PARTS = """
 r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem WHERE l_quantity >= 45),
 e AS MATERIALIZED (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND b.rn = a.rn + 1 WHERE a.l_partkey <> b.l_partkey),
@@ -224,9 +237,9 @@ def _degree_zero(key: str, name: str) -> str:
     return f"SELECT v.id, coalesce(x.n, 0) AS {name} FROM v LEFT JOIN (SELECT {key} AS id, count(*) AS n FROM e GROUP BY {key}) x ON x.id = v.id"
 
 
-def _pagerank(rounds: int, tol: float) -> str:
+def _pagerank(rounds: int, tol: float, graph: str = _PARTS) -> str:
     return f"""
-WITH RECURSIVE {_PARTS},
+WITH RECURSIVE {graph},
 o AS MATERIALIZED (SELECT src, count(*) AS n FROM e GROUP BY src),
 pr(i, id, pr, delta, act) AS (
   SELECT 0, id, CAST(0.15 AS DOUBLE), CAST(0.15 AS DOUBLE), true FROM v
@@ -256,9 +269,9 @@ def _kcore(graph: str, rounds: int) -> str:
     return ",\n".join(out) + f"\nSELECT id, CAST(k AS INTEGER) AS kcore FROM k{rounds}"
 
 
-def _labels(rounds: int, both: bool) -> str:
+def _labels(rounds: int, both: bool, graph: str = _PARTS) -> str:
     arcs = "SELECT src, dst FROM e WHERE src <> dst UNION ALL SELECT dst, src FROM e WHERE src <> dst" if both else "SELECT src, dst FROM e"
-    out = [f"WITH {_PARTS}", f"s AS MATERIALIZED ({arcs})", "l0 AS MATERIALIZED (SELECT id, id AS label FROM v)"]
+    out = [f"WITH {graph}", f"s AS MATERIALIZED ({arcs})", "l0 AS MATERIALIZED (SELECT id, id AS label FROM v)"]
     for i in range(rounds):
         counts = f"SELECT s.dst AS id, q.label, count(*) AS n FROM s JOIN l{i} q ON q.id = s.src GROUP BY s.dst, q.label"
         best = f"SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS rn FROM ({counts}) c"
@@ -316,3 +329,14 @@ SELECT id, CAST(count(DISTINCT o) AS DOUBLE) AS neighborhood_size FROM b GROUP B
 FROM lineitem GROUP BY l_partkey, l_suppkey) x WHERE rn = 1""",
     "hll_parts": "SELECT l_partkey, CAST(count(DISTINCT l_suppkey) AS DOUBLE) AS suppliers FROM lineitem GROUP BY l_partkey",
 }
+# the same over the whole edges table; paths, components, k-core and neighbourhoods are out of reach there
+SQL |= {
+    f"links_{name}": SQL[name].replace(_PARTS, _LINKS)
+    for name in ("num_nodes", "num_edges", "in_degrees", "in_degrees_zero", "vertex_program_in_degree", "vertex_program_out_degree", "vertex_program_named_messages", "mis_invariants")
+} | {
+    "links_vertex_program_bidirectional": SQL["vertex_program_bidirectional"].replace(_SPARSE, _LINKS),
+    "links_pagerank_fixed": _pagerank(10, 0.0, _LINKS),
+    "links_pagerank_pruned": _pagerank(8, 0.01, _LINKS),
+    "links_label_propagation": _labels(5, True, _LINKS),
+    "links_label_propagation_directed": _labels(4, False, _LINKS),
+}
