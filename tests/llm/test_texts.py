@@ -64,6 +64,41 @@ def test_blocks_and_numbers():
     assert units("...") == ["..."] and units("a") == ["a"]
 
 
+MARKED = "The cover is shut. It stays so for a long while. " * 20
+
+
+def unit_texts(text):
+    return [text[a:b] for a, b in sentence_units(text)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "The note (" + MARKED + "all of it) was read aloud.",
+        "The note (" + "a (b (c (d. Then) e) f) g. " * 30 + "all of it) was read aloud.",
+        "The note [" + MARKED + "all of it] was read aloud.",
+        "The words “" + MARKED + "all of it” were read aloud.",
+        'The words "' + MARKED + 'all of it" were read aloud.',
+        "Die Worte „" + MARKED + "all of it“ wurden gelesen.",
+        "Les mots « " + MARKED + "all of it » ont été lus.",
+    ],
+)
+def test_long_pairs_that_the_sentence_goes_on_after(text):
+    assert unit_texts(text + " Next one.") == [text, "Next one."]
+
+
+def test_long_pairs_in_scripts_without_spaces():
+    text = "彼は「" + "蓋を閉じる。しばらく待つ。" * 25 + "」と言った。"
+    assert unit_texts(text + "次の文。") == [text, "次の文。"]
+
+
+def test_pairs_need_a_partner():
+    assert len(unit_texts("An open (bracket. " + MARKED + "All of it.")) == 42
+    assert len(unit_texts("One [left. " + MARKED + "The (other [ stays) open.")) == 42
+    assert len(unit_texts('He said: "' + MARKED + 'It ends." The next one.')) == 42
+    assert len(unit_texts("(((( " * 20_000 + "]]]] " * 20_000 + "Open. End.")) == 2
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("aB1 .!?\n\r\"()“”«»。」「…ก，я")), max_size=80))
 def test_units_cover_the_text(text):

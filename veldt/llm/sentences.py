@@ -7,7 +7,7 @@ span scores, each of which weighs jointly
 * the closing word: abbreviations, numbers, initials, units, chained abbreviations;
 * the opening word of what follows: case, list and paragraph numbers, particles that go on with the
   sentence after a quotation;
-* balanced quotations and brackets: a span that cuts one pays for it;
+* balanced quotations and brackets, of any length within the block: a span that cuts one pays for it;
 * the length: spans without a letter pay, others a little for unusual lengths.
 
 A block's end always ends a span. Offsets are Unicode code points, without outer white space.
@@ -34,6 +34,11 @@ _PAIRS = re.compile(
     r"„[^„“”]{1,300}[“”]|‚[^‚‘’]{1,200}[‘’]|«[^«»]{1,300}»|»[^«»]{1,300}«|“[^“”]{1,300}”|(?<!\w)‘[^‘’]{1,200}’|‘[^‘’]{1,60}’|\"[^\"]{1,300}\"|"
     r"「[^「」]{1,300}」|『[^『』]{1,300}』|\((?:[^()]|\([^()]{0,80}\)){0,400}\)|（[^（）]{0,400}）|\[[^\[\]]{0,200}\]|【[^【】]{0,60}】|《[^《》]{1,200}》"
 )
+_DELIMITER = re.compile(r"[„‚«»“”‘’\"「」『』()（）\[\]【】《》]")
+_CLOSES = {"„": "“”", "‚": "‘’", "«": "»", "»": "«", "“": "”", "‘": "’", '"': '"', "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》"}
+_BRACKETS = frozenset("(（[【《「『")
+#: Quotation marks whose direction is uncertain are paired by what is around them only beyond this length.
+_LONG_QUOTATION = 200
 _HAS_PAIR = re.compile(r"[„‚«»“‘\"「『(（\[【《]")
 _CLOSERS = frozenset("\"”’»)]}」』】〉》）］｝›")
 _OPENERS = frozenset("\"“„«»‘‚(（「『[【《‹¿¡")
@@ -209,6 +214,49 @@ def _score(text: str, start: int, end: int, a: int, b: int, after: int, closed:
     return score + _closing(text, start, a, kind, after)
 
 
+def _goes_on(text: str, b: int, end: int) -> bool:
+    """Whether the sentence goes on after the quotation or bracket that ends before ``b``."""
+    n = b
+    while n < end and text[n].isspace():
+        n += 1
+    if n >= end:
+        return False
+    return text[n].islower() or text[n] in "、，,;；:：" or bool(_MARKS.match(text, n)) or bool(_GOES_ON.match(text, n)) or not _MARKS.match(text, b - 2)
+
+
+def _long_pairs(text: str, start: int, end: int, short: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Quotations and brackets of any length besides the ``short`` ones that the sentence goes on after; none within another.
+
+    A stack over the block: a bracket is no pair across an open bracket, a quotation none across anything open.
+    """
+    known, stack, found = set(short), [], []
+    awaited = dict.fromkeys("".join(_CLOSES.values()), 0)  # open marks by what would close them
+    for m in _DELIMITER.finditer(text, start, end):
+        a, c = m.start(), m.group()
+        before, after = text[a - 1] if a > start else " ", text[a + 1] if a + 1 < end else " "
+        if c == "’" and before.isalnum() and after.isalnum():
+            continue  # an apostrophe
+        if awaited.get(c) and (c != '"' or not before.isspace()):
+            at = next(k for k in range(len(stack) - 1, -1, -1) if c in _CLOSES[text[stack[k]]])
+            opener = stack[at]
+            for x in stack[at:]:
+                for e in _CLOSES[text[x]]:
+                    awaited[e] -= 1
+            clean = all(text[x] not in _BRACKETS for x in stack[at + 1 :]) if text[opener] in _BRACKETS else at == len(stack) - 1
+            del stack[at:]
+            if clean and (opener, a + 1) not in known and (text[opener] in _BRACKETS or a - opener > _LONG_QUOTATION) and _goes_on(text, a + 1, end):
+                found.append((opener, a + 1))
+        elif c in _CLOSES and (c in _BRACKETS or c in "„“‚" or c == "«" and before.isspace() or not before.isalnum() and not after.isspace() and (before.isspace() or before in _OPENERS)):
+            stack.append(a)
+            for e in _CLOSES[c]:
+                awaited[e] += 1
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
+        if (not out or b > out[-1][1]) and not any(x <= a and b <= y for x, y in short[max(0, bisect_left(short, (a, a)) - 1) :][:2]):
+            out.append((a, b))
+    return out
+
+
 def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
     """Append the units of the block text[start:end], which has no outer white space."""
     marks = [m.span() for m in _MARKS.finditer(text, start, end)]
@@ -219,6 +267,18 @@ def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
     pairs = [m.span() for m in _PAIRS.finditer(text, start, end)] if _HAS_PAIR.search(text, start, end) else []
     ends, begins = {b for _, b in pairs}, [a for a, _ in pairs]
     opening = set(begins)
+    if marks and _HAS_PAIR.search(text, start, end) and (long := _long_pairs(text, start, end, pairs)):
+        ends |= {b for _, b in long}
+        # what is within or across a longer pair is no pair of its own
+        rest = []
+        k = 0
+        for a, b in pairs:
+            while k < len(long) and long[k][1] <= a:
+                k += 1
+            if k == len(long) or b <= long[k][0]:
+                rest.append((a, b))
+        pairs = sorted(rest + long)
+        begins = [a for a, _ in pairs]
     found: list[tuple[int, float]] = []  # possible ends with their scores
     for a, b in marks:
         after, closed = b, False
