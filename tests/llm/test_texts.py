@@ -99,6 +99,15 @@ def test_pairs_need_a_partner():
     assert len(unit_texts("(((( " * 20_000 + "]]]] " * 20_000 + "Open. End.")) == 2
 
 
+def test_a_span_passes_over_any_number_of_ends():
+    text = "彼は「" + "蓋を閉じる。しばらく待つ。" * 60 + "」と言った。"
+    assert unit_texts(text + "次の文。") == [text, "次の文。"]
+    text = "The list is (" + MARKED * 3 + "all of it) and was read aloud."
+    assert unit_texts(text + " Next one.") == [text, "Next one."]
+    assert len(unit_texts("値は次。" + "1。" * 200)) == 1
+    assert len(unit_texts("値は次。" + "1。" * 50_000)) < 50  # in time, too
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("aB1 .!?\n\r\"()“”«»。」「…ก，я")), max_size=80))
 def test_units_cover_the_text(text):

@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from math import log
+from math import exp, inf, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,8 +58,8 @@ _NUMBER = re.compile(r"[\d.,:/–-]*\d[\d.,:/–-]*")
 
 #: Ends that score less are never worth taking: the rest of a span's score varies by less.
 _HOPELESS = -1.0
-#: Likely ends that one span may pass over.
-_REACH = 64
+#: From this length on a longer span scores less.
+_USUAL = 90
 
 # fixed values: abbreviations after which a sentence goes on
 _ABBREVIATIONS = frozenset(
@@ -257,6 +257,14 @@ def _long_pairs(text: str, start: int, end: int, short: list[tuple[int, int]]) -
     return out
 
 
+def _overtakes(best: list[float], starts: list[int], older: int, newer: int) -> float:
+    """From which end on the older start, of higher score, is better than the newer one; infinite where it never is."""
+    if best[older] <= best[newer]:
+        return inf
+    r = exp(min(10.0 * (best[older] - best[newer]), 700.0))
+    return (r * starts[newer] - starts[older]) / (r - 1.0) if r > 1.0 else inf
+
+
 def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
     """Append the units of the block text[start:end], which has no outer white space."""
     marks = [m.span() for m in _MARKS.finditer(text, start, end)]
@@ -307,20 +315,43 @@ def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
         k = bisect_left(begins, p) - 1  # pairs do not overlap: only the last one before may be cut
         cut.append((p, s, 6.0 if k >= 0 and p < pairs[k][1] else 0.0))
     cut.append((end, 0.0, 0.0))
-    letter = [m.start() for m in (_LETTER.search(text, p, end) for p in [start, *(x[0] for x in cut[:-1])]) if m]
-    letter += [end] * (len(cut) - len(letter))  # the first letter at or after each possible start
+    letter: list[int] = []  # the first letter at or after each possible start
+    for p in (start, *(x[0] for x in cut[:-1])):
+        if not letter or letter[-1] < p:
+            letter.append(m.start() if (m := _LETTER.search(text, p, end)) else end)
+        else:
+            letter.append(letter[-1])
     best, back = [0.0], [0]
     starts = [start, *(x[0] for x in cut)]
+    # Starts more than the usual length back that may still win, with values that rise: one that an older
+    # start beats stays beaten, as lengths of both cost ever more alike and letters come no sooner after it.
+    far: list[int] = []
+    near = 0  # the first start within the usual length
     for j, (p, s, cuts) in enumerate(cut):
-        top, at = -1e18, 0
-        for i in range(max(0, j + 1 - _REACH), j + 1):
-            value = best[i] - cuts
+        while near <= j and p - starts[near] >= _USUAL:
+            alike = lambda i: letter[i] == letter[near] or letter[near] < p  # noqa: B023, E731
+            while far and best[far[-1]] <= best[near] and alike(far[-1]):
+                far.pop()
+            while len(far) > 1 and alike(far[-2]) and _overtakes(best, starts, far[-2], far[-1]) <= _overtakes(best, starts, far[-1], near):
+                far.pop()  # beaten by the older before it beats the newer
+            far.append(near)
+            near += 1
+        top, at, bare, kept = -1e18, 0, -1e18, []
+        for i in far:
+            value = best[i] - 0.1 * log((p - starts[i]) / _USUAL)
+            if value <= bare or letter[i] < p and value <= top:
+                continue
+            kept.append(i)
             if letter[i] >= p:
-                value -= 8.0
-            value -= 0.1 * abs(log((p - starts[i]) / 90))
+                bare, value = value, value - 8.0
+            if value > top:
+                top, at = value, i
+        far = kept
+        for i in range(near, j + 1):
+            value = best[i] - (8.0 if letter[i] >= p else 0.0) - 0.1 * abs(log((p - starts[i]) / _USUAL))
             if value > top:
                 top, at = value, i
-        best.append(top + s)
+        best.append(top - cuts + s)
         back.append(at)
     j, spans = len(cut), []
     while j:
