@@ -33,8 +33,8 @@ def test_pagerank_keeps_sinks(graph):
     assert abs(sum(r.values()) - 1) < 1e-9
 
 
-@pytest.mark.parametrize("layout", ["static", "adaptive"])
-def test_pagerank_against_plain_iteration(graph, layout):
+@pytest.mark.parametrize("hubs", [None, 3])
+def test_pagerank_against_plain_iteration(graph, hubs):
     ids, edges = random_graph(3)
     outs = Counter(s for s, _ in edges)
     rank, delta = dict.fromkeys(ids, 0.15), dict.fromkeys(ids, 0.15)
@@ -44,7 +44,7 @@ def test_pagerank_against_plain_iteration(graph, layout):
             new[d] += 0.85 * delta[s] / outs[s]
         rank, delta = {i: rank[i] + new[i] for i in ids}, new
     total = sum(rank.values())
-    got = values(graph(ids, edges).pagerank().max_iter(5).tol(0.0).layout(layout).run().df, "pagerank")
+    got = values(graph(ids, edges).pagerank().max_iter(5).tol(0.0).hub_rows(hubs).run().df, "pagerank")
     assert all(abs(got[i] - rank[i] / total) < 1e-9 for i in ids)
 
 
@@ -105,7 +105,8 @@ def test_k_core_named(graph):
     assert got == {1000 * k + i: c for k, x in enumerate(CORES.values()) for i, c in x[2].items()}
 
 
-def test_k_core_against_peeling(graph):
+@pytest.mark.parametrize("hubs", [None, 9])
+def test_k_core_against_peeling(graph, hubs):
     ids, edges = random_graph(8, 30, 110)
     near = {i: set() for i in ids}
     for a, b in edges:
@@ -121,7 +122,7 @@ def test_k_core_against_peeling(graph):
             want[i] = k
             for j in left.pop(i):
                 left.get(j, set()).discard(i)
-    assert values(graph(ids, edges).k_core().run().df, "kcore") == want
+    assert values(graph(ids, edges).k_core().hub_rows(hubs).run().df, "kcore") == want
 
 
 CHAIN = [(1, 2), (2, 3), (3, 4)]
@@ -166,8 +167,9 @@ def test_label_propagation_two_triangles(graph):
 def test_label_propagation_against_plain(graph, directed):
     ids, edges = random_graph(11)
     arcs = edges if directed else both([e for e in edges if e[0] != e[1]])
-    got = values(graph(ids, edges).label_propagation().bidirectional(not directed).max_iter(4).run().df, "community")
-    assert got == propagate(ids, arcs, 4)
+    for hubs in (None, 6):
+        got = values(graph(ids, edges).label_propagation().bidirectional(not directed).max_iter(4).hub_rows(hubs).run().df, "community")
+        assert got == propagate(ids, arcs, 4)
 
 
 def components(ids, edges):
@@ -198,8 +200,12 @@ def test_components(graph):
     cases = [([7], [(7, 7)]), ([1, 2], [(2, 1)]), ([1, 2, 3, 10, 11], [(1, 2), (2, 3), (10, 11)]), ([5, 6], [(5, 99), (99, 6)]), ([-3, -9, 4], [(-3, -9)]), (range(60), [(i, i + 1) for i in range(59)]), random_graph(1, 80, 70), random_graph(2, 80, 70)]
     ids, edges = disjoint(cases)
     g, want = graph(ids, edges), components(ids, edges)
-    assert values(g.connected_components().seed(1).run().df, "component") == want
-    raw = values(g.connected_components().seed(2).use_labels(False).run().df, "component")
+    assert values(g.connected_components().seed(1).run().df, "component") == want  # all within the remainder
+    whole = g.connected_components().seed(3).remainder(0).run()
+    assert values(whole.df, "component") == want and whole.iterations > 2
+    mixed = g.connected_components().seed(4).remainder(90).run()
+    assert values(mixed.df, "component") == want and 1 < mixed.iterations <= whole.iterations
+    raw = values(g.connected_components().seed(2).remainder(20).use_labels(False).run().df, "component")
     assert len({(raw[i], want[i]) for i in ids}) == len(set(raw.values())) == len(set(want.values()))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
+from operator import xor
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,13 +19,14 @@ def _signed(x: int) -> int:
 
 def multiply(a: int, x: int) -> int:
     """Product of two field elements, given and returned as signed 64-bit integers."""
-    a, x, out = a & _MASK, x & _MASK, 0
-    while x:
-        if x & 1:
-            out ^= a
-        x >>= 1
-        a = ((a << 1) & _MASK) ^ (REDUCTION if a >> 63 else 0)
-    return _signed(out)
+    a, x = a & _MASK, x & _MASK
+    # the carry-less product of up to 127 bits
+    product = reduce(xor, (a << k for k in range(x.bit_length()) if x >> k & 1), 0)
+    # x^64 is the polynomial's low part: fold the upper half down, whose own overflow has four bits at most
+    for _ in range(2):
+        upper, product = product >> 64, product & _MASK
+        product ^= reduce(xor, (upper << k for k in range(5) if REDUCTION >> k & 1), 0)
+    return _signed(product)
 
 
 def affine(a: int | None, x: int | None, b: int | None) -> int | None:

@@ -17,7 +17,7 @@ class HyperANF:
 
     def __init__(self, graph: Graph):
         self.graph = graph
-        self._hops, self._lg_k, self._directed, self._layout = 2, 12, True, "auto"
+        self._hops, self._lg_k, self._directed, self._hub_rows = 2, 12, True, None
 
     def n_hops(self, n: int) -> HyperANF:
         self._hops = n
@@ -33,8 +33,8 @@ class HyperANF:
         self._directed = directed
         return self
 
-    def layout(self, layout: str) -> HyperANF:
-        self._layout = layout
+    def hub_rows(self, n: int) -> HyperANF:
+        self._hub_rows = n
         return self
 
     def run(self) -> ProgramResult:
@@ -43,7 +43,7 @@ class HyperANF:
         merged = F.coalesce(hll_union(F.col("ball"), msg()), F.col("ball"))
         result = (
             VertexProgram(Graph(start, ends if self._directed else simple_arcs(ends)))
-            .layout(self._layout)
+            .hub_rows(self._hub_rows)
             .skip_dest_state()
             .max_iterations(self._hops)
             .add_vertex_column("ball", F.col("ball"), merged)

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veldt.graph import Graph, simple_arcs
-from veldt.plans.materialize import Scratch, sized_plans
-from veldt.plans.vertex_program import ProgramResult
+from veldt.plans.vertex_program import MessageDirection, ProgramResult, VertexProgram, msg, src
+
+_ACTIVE, _JOINING, _MEMBER, _OUT = range(4)
 
 
 class MaximalIndependentSet:
     """(id) of the set's members. Isolated vertices belong to it; edges to unknown vertices do not count.
 
     A vertex nominates itself with probability p, starting at one half; p halves where the neighbours'
-    sum reaches two and doubles otherwise, up to one half. A nominee without a nominated neighbour joins
-    and leaves with its neighbours. Nomination hashes (id, round, seed): repeated tasks agree.
+    sum reaches two and doubles otherwise, up to one half. A nominee without a nominated neighbour joins, and
+    tells its neighbours with the next round's messages, which leave. Nomination hashes (id, round, seed):
+    repeated tasks agree. A round is one superstep; only active and joining vertices send.
     """
 
     def __init__(self, graph: Graph):
         self.graph = graph
-        self._seed, self._cap = 42, 1000
+        self._seed, self._cap, self._hub_rows = 42, 1000, None
 
     def seed(self, seed: int) -> MaximalIndependentSet:
         self._seed = seed
@@ -29,37 +32,43 @@ class MaximalIndependentSet:
         self._cap = n
         return self
 
+    def hub_rows(self, n: int) -> MaximalIndependentSet:
+        self._hub_rows = n
+        return self
+
+    def _nominates(self, number: Column, p: Column) -> Column:
+        chance = F.shiftrightunsigned(F.xxhash64(F.lit(self._seed), number, "id"), 11).cast("double") / F.lit(float(2**53))
+        return chance <= p
+
     def run(self) -> ProgramResult:
-        spark = self.graph.spark
-        scratch = Scratch(spark, "independent-set")
-        ids = self.graph.vertices.select("id").distinct()
-        arcs = simple_arcs(self.graph.edges.select("src", "dst"))
-        known = arcs.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
-        arcs = scratch.write(known.select("src", "dst"), "arcs-0")
-        state = scratch.write(ids.select("id", F.lit(0.5).alias("p")), "state-0")
-        members, k = [], 0
-        while left_over := arcs.count():
-            if k == self._cap:
-                raise RuntimeError(f"edges are left after {self._cap} rounds")
-            chance = (F.shiftrightunsigned(F.xxhash64(F.lit(self._seed), F.lit(k), "id"), 11).cast("double")) / F.lit(float(2**53))
-            drawn = state.withColumn("nominated", chance <= F.col("p"))
-            around = arcs.join(drawn.select(F.col("id").alias("dst"), "p", "nominated"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("p").alias("d"), F.bool_or("nominated").alias("rival"))
-            judged = drawn.join(around, "id", "left")
-            joins = F.col("d").isNull() | (F.col("nominated") & ~F.col("rival"))
-            p = F.when(F.col("d") >= 2, F.col("p") / 2).otherwise(F.least(F.col("p") * 2, F.lit(0.5)))
-            with sized_plans(spark, left_over):
-                judged = scratch.write(judged.select("id", p.alias("p"), joins.alias("joins")), f"judged-{k}")
-                joined = judged.filter("joins").select("id")
-                members.append(joined)
-                hit = arcs.join(joined.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
-                left = scratch.write(judged.filter("NOT joins").select("id", "p").join(hit, "id", "left_anti"), f"state-{k + 1}")
-                stay = left.select("id")
-                nearer = arcs.join(stay.select(F.col("id").alias("src")), "src", "left_semi").join(stay.select(F.col("id").alias("dst")), "dst", "left_semi")
-                nearer = scratch.write(nearer.select("src", "dst"), f"arcs-{k + 1}")
-            scratch.drop(f"arcs-{k}")
-            scratch.drop(f"state-{k}")
-            arcs, state, k = nearer, left, k + 1
-        out = state.select("id")
-        for m in members:
-            out = out.union(m)
-        return ProgramResult(out, k)
+        status, p, number, half = F.col("status"), F.col("p"), F.col("number"), F.lit(0.5)
+        near = F.coalesce(msg("near"), F.lit(0.0))  # the active neighbours' sum
+        hit, rival = (F.coalesce(msg(n), F.lit(False)) for n in ("hit", "rival"))
+        joins = (near == 0) | (F.col("nominated") & ~rival)
+        judged = F.when(status == _JOINING, _MEMBER).when(status != _ACTIVE, status).when(hit, _OUT).when(joins, _JOINING).otherwise(_ACTIVE)
+        adapted = F.when(near >= 2, p / 2).otherwise(F.least(p * 2, half))
+        active = src("status") == _ACTIVE
+        vertices = self.graph.vertices.select("id").distinct()
+        result = (
+            VertexProgram(Graph(vertices, simple_arcs(self.graph.edges.select("src", "dst"))))
+            .hub_rows(self._hub_rows)
+            .skip_dest_state()
+            .fuse_messages()
+            .max_iterations(self._cap)
+            .add_vertex_column("status", F.lit(_ACTIVE), judged)
+            .add_vertex_column("p", half, adapted)
+            .add_vertex_column("number", F.lit(0), number + 1)
+            .add_vertex_column("nominated", self._nominates(F.lit(0), half), self._nominates(number + 1, adapted))
+            .with_participation_column("sends", F.lit(True), judged.isin(_ACTIVE, _JOINING))
+            .with_vertex_voting("active", judged == _ACTIVE)
+            .add_named_message("near", F.when(active, src("p")), MessageDirection.SRC_TO_DST)
+            .add_named_message("rival", active & src("nominated"), MessageDirection.SRC_TO_DST)
+            .add_named_message("hit", src("status") == _JOINING, MessageDirection.SRC_TO_DST)
+            .add_named_aggregate_expr("near", F.sum(msg("near")))
+            .add_named_aggregate_expr("rival", F.bool_or(msg("rival")))
+            .add_named_aggregate_expr("hit", F.bool_or(msg("hit")))
+            .run()
+        )
+        if result.iterations == self._cap and not result.df.filter(status == _ACTIVE).isEmpty():
+            raise RuntimeError(f"vertices are undecided after {self._cap} rounds")
+        return ProgramResult(result.df.filter(status.isin(_JOINING, _MEMBER)).select("id"), result.iterations)

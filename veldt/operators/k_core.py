@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veldt.functions.reducers import h_index_by_id
 from veldt.graph import Graph, simple_arcs
+from veldt.plans.materialize import Scratch
 from veldt.plans.vertex_program import MessageDirection, ProgramResult, VertexProgram, msg, src
 
 
@@ -14,23 +15,25 @@ class KCore:
 
     def __init__(self, graph: Graph):
         self.graph = graph
-        self._max_iter, self._layout = 0, "auto"
+        self._max_iter, self._hub_rows = 0, None
 
     def max_iter(self, n: int) -> KCore:
         self._max_iter = n
         return self
 
-    def layout(self, layout: str) -> KCore:
-        self._layout = layout
+    def hub_rows(self, n: int) -> KCore:
+        self._hub_rows = n
         return self
 
     def run(self) -> ProgramResult:
-        arcs = simple_arcs(self.graph.edges.select("src", "dst"))
+        # read for the degrees and for the program: written once
+        scratch = Scratch(self.graph.spark, "k-core")
+        arcs = scratch.write(simple_arcs(self.graph.edges.select("src", "dst")), "arcs")
         degrees = Graph(self.graph.vertices.select("id"), arcs).out_degrees(include_zero=True)
         new = F.coalesce(msg(), F.lit(0))
         program = (
             VertexProgram(Graph(degrees, arcs))
-            .layout(self._layout)
+            .hub_rows(self._hub_rows)
             .skip_dest_state()
             .add_vertex_column("kcore", F.col("out_degree").cast("int"), new)
             .add_message(src("kcore"), MessageDirection.SRC_TO_DST)
@@ -39,4 +42,6 @@ class KCore:
         )
         if self._max_iter:
             program.max_iterations(self._max_iter)
-        return program.run()
+        result = program.run()
+        scratch.purge()
+        return result

@@ -19,7 +19,7 @@ class LabelPropagation:
 
     def __init__(self, graph: Graph):
         self.graph = graph
-        self._max_iter, self._both, self._layout = 10, True, "auto"
+        self._max_iter, self._both, self._hub_rows = 10, True, None
 
     def max_iter(self, n: int) -> LabelPropagation:
         self._max_iter = n
@@ -29,15 +29,15 @@ class LabelPropagation:
         self._both = both
         return self
 
-    def layout(self, layout: str) -> LabelPropagation:
-        self._layout = layout
+    def hub_rows(self, n: int) -> LabelPropagation:
+        self._hub_rows = n
         return self
 
     def run(self) -> ProgramResult:
         ends = self.graph.edges.select("src", "dst")
         return (
             VertexProgram(Graph(self.graph.vertices.select("id"), simple_arcs(ends, distinct=False) if self._both else ends))
-            .layout(self._layout)
+            .hub_rows(self._hub_rows)
             .skip_dest_state()
             .max_iterations(self._max_iter)
             .add_vertex_column("community", F.col("id"), F.coalesce(msg(), F.col("community")))

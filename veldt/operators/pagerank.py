@@ -17,7 +17,7 @@ class PageRank:
 
     def __init__(self, graph: Graph):
         self.graph = graph
-        self._max_iter, self._reset, self._tol, self._layout = 0, 0.15, 0.01, "auto"
+        self._max_iter, self._reset, self._tol, self._hub_rows = 0, 0.15, 0.01, None
 
     def max_iter(self, n: int) -> PageRank:
         self._max_iter = n
@@ -31,8 +31,8 @@ class PageRank:
         self._tol = tol
         return self
 
-    def layout(self, layout: str) -> PageRank:
-        self._layout = layout
+    def hub_rows(self, n: int) -> PageRank:
+        self._hub_rows = n
         return self
 
     def run(self) -> ProgramResult:
@@ -41,7 +41,7 @@ class PageRank:
         changing = delta > F.lit(float(self._tol))
         program = (
             VertexProgram(Graph(self.graph.out_degrees(include_zero=True), self.graph.edges))
-            .layout(self._layout)
+            .hub_rows(self._hub_rows)
             .skip_dest_state()
             .add_vertex_column("out_degree", F.col("out_degree"), F.col("out_degree"))
             .add_vertex_column("pagerank", start, F.col("pagerank") + delta)

@@ -25,7 +25,7 @@ class ShortestPaths:
             raise ValueError("shortest paths need landmarks: there would be no messages")
         self.graph = graph
         self.landmarks = sorted(set(landmarks))
-        self._to, self._cap, self._layout = False, None, "auto"
+        self._to, self._cap, self._hub_rows = False, None, None
 
     def to_landmarks(self, to: bool = True) -> ShortestPaths:
         self._to = to
@@ -35,8 +35,8 @@ class ShortestPaths:
         self._cap = n
         return self
 
-    def layout(self, layout: str) -> ShortestPaths:
-        self._layout = layout
+    def hub_rows(self, n: int) -> ShortestPaths:
+        self._hub_rows = n
         return self
 
     def run(self) -> ProgramResult:
@@ -44,7 +44,7 @@ class ShortestPaths:
         if self._to:
             ends = ends.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         far = F.lit(UNREACHABLE)
-        program = VertexProgram(Graph(self.graph.vertices.select("id"), ends)).layout(self._layout).skip_dest_state().fuse_messages()
+        program = VertexProgram(Graph(self.graph.vertices.select("id"), ends)).hub_rows(self._hub_rows).skip_dest_state().fuse_messages()
         better = []
         for x in self.landmarks:
             name = f"dist_{x}"

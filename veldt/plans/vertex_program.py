@@ -1,28 +1,25 @@
 """Synchronous vertex programs: messages, aggregation, simultaneous update, voting.
 
-Two layouts of the loop:
+Edges are cached by column, partitioned and sorted by source, and so is the state by id, so that a superstep
+is one job with one exchange, that of the messages, which are combined before it. The loop plans in a
+session of its own.
 
-* ``static``: edges are written, then cached partitioned and sorted by source, the state is checkpointed by
-  id; adaptive execution is off, so a superstep has one exchange, that of the messages.
-* ``adaptive``: edges and state are written as parquet and joined under adaptive execution, which
-  splits the partitions of hub vertices.
-
-``auto`` takes ``adaptive`` where one vertex is the source of more than ``hub_share`` of all edges.
+A hub, an id that holds more edges than a few partitions' share, has no place in such a partition: its
+edges stay where they were read and meet the hubs' states by a broadcast, of as many rows at most as there
+are partitions. Hubs are found in a sample of the edges; that choice is one of the plan, results are the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import nullcontext
 from dataclasses import dataclass
 from enum import Enum
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt.graph import DST, ID, SRC, Graph
-from veldt.plans.materialize import Scratch, StateStore, static_plans
+from veldt.plans.materialize import Generations, Scratch, keep, loop_partitions, rebound, static_session
 
 _SRC, _DST, _EDGE, _MSG = "__vp_src_", "__vp_dst_", "__vp_edge_", "__vp_msg_"
 
@@ -33,6 +30,10 @@ class MessageDirection(Enum):
     BIDIRECTIONAL = "bidirectional"
 
 
+#: The ends of an edge that a message goes to.
+_ENDS = {MessageDirection.SRC_TO_DST: (DST,), MessageDirection.DST_TO_SRC: (SRC,), MessageDirection.BIDIRECTIONAL: (DST, SRC)}
+
+
 def src(column: str) -> Column:
     """A state column of the edge's source, in messages."""
     return F.col(_SRC + column)
@@ -53,6 +54,34 @@ def msg(name: str = "msg") -> Column:
     return F.col(_MSG + name)
 
 
+#: A hub holds at least so many edges, and at least four times a partition's share.
+HUB_ROWS = 100_000
+#: Edges in the sample that hubs are looked for in.
+HUB_SAMPLE = 2_000_000
+
+
+def find_hubs(edges: DataFrame, column: str, rows: int, partitions: int, least: int | None = None) -> list[int]:
+    """Ids that hold more than four partitions' share of ``edges``, judged by a sample; at most as many as partitions."""
+    bound = max(HUB_ROWS if least is None else least, 4 * rows // partitions if least is None else 1)
+    if rows <= bound:
+        return []
+    share = min(1.0, HUB_SAMPLE / rows)
+    drawn = edges.sample(share, seed=42) if share < 1 else edges
+    counts = drawn.groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter(F.col(column).isNotNull() & (F.col("n") >= 0.5 * bound * share))
+    return [r[0] for r in counts.orderBy(F.desc("n"), column).limit(partitions).select(column).collect()]
+
+
+@dataclass(frozen=True)
+class LaidEdges:
+    """Edges in the layout of a loop: those of light sources partitioned by source, those of hubs as they were read."""
+
+    light: DataFrame
+    hub: DataFrame | None = None
+    hubs: tuple[int, ...] = ()
+    target_hubs: tuple[int, ...] = ()
+    partitions: int = 1
+
+
 @dataclass(frozen=True)
 class ProgramResult:
     df: DataFrame
@@ -88,7 +117,7 @@ class VertexProgram:
         self._reducer: Callable[[DataFrame], DataFrame] | None = None
         self._fuse = False
         self._duplicates = False
-        self._layout, self._hub_share = "auto", 0.05
+        self._hub_rows: int | None = None
 
     def max_iterations(self, n: int) -> VertexProgram:
         """At most ``n`` supersteps; 0 only evaluates the initial state."""
@@ -100,10 +129,9 @@ class VertexProgram:
         self._dest_state = False
         return self
 
-    def layout(self, layout: str, hub_share: float = 0.05) -> VertexProgram:
-        if layout not in ("auto", "static", "adaptive"):
-            raise ValueError(f"unknown layout {layout}")
-        self._layout, self._hub_share = layout, hub_share
+    def hub_rows(self, n: int | None) -> VertexProgram:
+        """An id with so many edges is a hub, whatever a partition's share is; None: see :func:`find_hubs`."""
+        self._hub_rows = n
         return self
 
     def with_vertex_voting(self, column: str, condition: Column) -> VertexProgram:
@@ -140,7 +168,11 @@ class VertexProgram:
         return self
 
     def reduce_messages(self, reducer: Callable[[DataFrame], DataFrame]) -> VertexProgram:
-        """Instead of aggregates: a function from (id, messages) to one row per id, say in two steps for hubs."""
+        """Instead of aggregates: a function from (id, messages) to one row per id with the same columns.
+
+        It should aggregate by (id, message) first: messages to hubs are combined before that shuffle; those
+        to other ids are shuffled once, by id.
+        """
         self._reducer = reducer
         return self
 
@@ -167,10 +199,9 @@ class VertexProgram:
 
     def _sent(self, triplets: DataFrame) -> DataFrame:
         """(id, messages...) from one pass over the triplets."""
-        ends = {MessageDirection.SRC_TO_DST: (DST,), MessageDirection.DST_TO_SRC: (SRC,), MessageDirection.BIDIRECTIONAL: (DST, SRC)}
         rows: dict[object, list[_Message]] = {}
         for k, m in enumerate(self._messages):
-            for end in ends[m.direction]:
+            for end in _ENDS[m.direction]:
                 rows.setdefault(end if self._fuse else (end, k), []).append(m)
         names = list(dict.fromkeys(m.name for m in self._messages))
         first = {n: next(m.value for m in self._messages if m.name == n) for n in names}
@@ -187,19 +218,40 @@ class VertexProgram:
         each = F.array(*(F.struct(*row(key, sent)) for key, sent in rows.items()))
         return triplets.select(F.explode(each).alias("m")).select("m.*")
 
-    def _superstep(self, state: DataFrame, edges: DataFrame) -> DataFrame:
+    def _triplets(self, state: DataFrame, edges: LaidEdges) -> DataFrame:
         part = self._participation[0] if self._participation else None
         senders = state.filter(F.col(part)) if part and not self._dest_state else state
         one = senders.select(*(F.col(c).alias(_SRC + c) for c in state.columns))
-        triplets = edges.join(one, edge(SRC) == F.col(_SRC + ID))
-        if self._dest_state:
-            two = state.select(*(F.col(c).alias(_DST + c) for c in state.columns))
-            triplets = triplets.join(two, edge(DST) == F.col(_DST + ID))
-            if part:
-                triplets = triplets.filter(src(part) | dst(part))
+        source = edge(SRC) == F.col(_SRC + ID)
+        met = [edges.light.join(one, source)]
+        if edges.hub is not None:
+            met.append(edges.hub.join(F.broadcast(one.filter(F.col(_SRC + ID).isin(*edges.hubs))), source))
+        if not self._dest_state:
+            return met[0] if len(met) == 1 else met[0].union(met[1])
+        two = state.select(*(F.col(c).alias(_DST + c) for c in state.columns))
+        target = edge(DST) == F.col(_DST + ID)
+        out = []
+        for rows in met:
+            if not edges.target_hubs:
+                out.append(rows.join(two, target))
+                continue
+            hot = edge(DST).isin(*edges.target_hubs)
+            out.append(rows.filter(~hot).join(two, target))
+            out.append(rows.filter(hot).join(F.broadcast(two.filter(F.col(_DST + ID).isin(*edges.target_hubs))), target))
+        triplets = out[0]
+        for more in out[1:]:
+            triplets = triplets.unionByName(more)
+        return triplets.filter(src(part) | dst(part)) if part else triplets
+
+    def _superstep(self, state: DataFrame, edges: LaidEdges) -> DataFrame:
+        part = self._participation[0] if self._participation else None
+        triplets = self._triplets(state, edges)
         sent = self._sent(triplets)
+        hot = None
         if self._reducer is not None:
-            received = self._reducer(sent)
+            to_hub = F.col(ID).isin(*edges.target_hubs) if edges.target_hubs else F.lit(False)
+            received = self._reducer(sent.filter(~to_hub).repartition(edges.partitions, ID))
+            hot = self._reducer(sent.filter(to_hub)) if edges.target_hubs else None
         elif self._aggregates:
             received = sent.groupBy(ID).agg(*(v.alias(_MSG + n) for n, v in self._aggregates))
         else:
@@ -209,7 +261,12 @@ class VertexProgram:
             updated.append(self._voting[1].alias(self._voting[0]))
         if self._participation:
             updated.append(F.coalesce(self._participation[2], F.lit(False)).alias(part))
-        return state.join(received, ID, "left").select(*updated)
+        met = state.join(received, ID, "left")
+        if hot is not None:
+            names = [c for c in hot.columns if c != ID]
+            few = F.broadcast(hot.select(ID, *(F.col(c).alias("__hot_" + c) for c in names)))  # a row per hub
+            met = met.join(few, ID, "left").withColumns({c: F.coalesce("__hot_" + c, c) for c in names})
+        return met.select(*updated)
 
     def run(self, debug: bool = False) -> ProgramResult:
         """Run to the end. ``debug`` keeps the voting and participation columns in the result."""
@@ -231,39 +288,40 @@ class VertexProgram:
             return ProgramResult(state.select(*(list(dict.fromkeys([*self.graph.vertices.columns, *names, *flags])) if debug else wanted)), 0)
         state = state.select(ID, *names, *flags)
 
-        layout = self._layout
-        if layout == "auto":
-            most = self.graph.edges.groupBy(SRC).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
-            layout = "adaptive" if most[1] and most[0] > max(1_000_000, self._hub_share * most[1]) else "static"
-        if layout == "static":
-            states, scratch = StateStore(spark), Scratch(spark, "vertex-program")
-            save = states.push
-
-            def keep_edges(df: DataFrame) -> DataFrame:
-                # read in every superstep: cached by column; lost blocks come back from the written table
-                return scratch.write(df, "edges").repartition(states.partitions, F.col(_EDGE + SRC)).sortWithinPartitions(_EDGE + SRC).persist(StorageLevel.MEMORY_AND_DISK)
-
-            drop_old = lambda: states.evict_all_but_latest(1)
-
-            def drop_edges() -> None:
-                edges.unpersist()
-                scratch.drop("edges")
-        else:
-            scratch, count = Scratch(spark, "vertex-program"), iter(range(1 << 62))
-            save = lambda df: scratch.write(df, f"state-{next(count)}")
-            keep_edges = lambda df: scratch.write(df, "edges")
-            drop_edges = lambda: scratch.drop("edges")
-            dropped = iter(range(1 << 62))
-            drop_old = lambda: scratch.drop(f"state-{next(dropped)}")
-
-        done = 0
-        with static_plans(spark) if layout == "static" else nullcontext():
-            edges, state = keep_edges(edges), save(state)
+        scratch = Scratch(spark, "vertex-program")
+        edges = scratch.write(edges, "edges")
+        rows = edges.count()  # from the files' footers
+        partitions = loop_partitions(spark, rows)
+        own = static_session(spark, partitions)
+        states, cached = Generations(own), []
+        try:
+            laid = self._lay(rebound(edges, own), rows, partitions, cached)
+            state, _ = states.push(rebound(state, own).repartition(partitions, ID).sortWithinPartitions(ID))
+            vote = F.count_if(self._voting[0]) if self._voting else F.count(F.lit(1))
+            done = 0
             while self._cap is None or done < self._cap:
-                state = save(self._superstep(state, edges))
-                drop_old()
+                state, votes = states.push(self._superstep(state, laid), vote)
                 done += 1
-                if self._voting and state.filter(F.col(self._voting[0])).isEmpty():
+                if self._voting and not votes[0]:
                     break
-            drop_edges()
-        return ProgramResult(state.select(*wanted), done)
+            result = scratch.write(rebound(state.select(*wanted), spark), "result")
+        finally:
+            for df in cached:
+                df.unpersist()
+            states.release()
+            scratch.drop("edges")
+        return ProgramResult(result, done)
+
+    def _lay(self, edges: DataFrame, rows: int, partitions: int, cached: list[DataFrame]) -> LaidEdges:
+        """The edges, cached in their layout; what is to be released is put into ``cached``."""
+        by = _EDGE + SRC
+        hubs = find_hubs(edges, by, rows, partitions, self._hub_rows)
+        ends = {_EDGE + DST} if self._dest_state else set()
+        if self._reducer is not None:
+            ends |= {_EDGE + end for m in self._messages for end in _ENDS[m.direction]}
+        targets = {x for end in sorted(ends) for x in (hubs if end == by else find_hubs(edges, end, rows, partitions, self._hub_rows))}
+        light, hub = (edges.filter(~F.col(by).isin(*hubs)), edges.filter(F.col(by).isin(*hubs))) if hubs else (edges, None)
+        # lost blocks come back from the written table
+        light = light.repartition(partitions, by).sortWithinPartitions(by)
+        cached += [light, *([hub] if hubs else [])]
+        return LaidEdges(keep(light), keep(hub) if hubs else None, tuple(hubs), tuple(sorted(targets)), partitions)
