@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veldt.llm.groups import group_sizes, link_groups
-from veldt.llm.kmv import compress, cube_sets, distinct_counts, distinct_cube, estimate, hash63, merge_cube, overlap, sketch_groups
+from veldt.llm.groups import decompose, group_sizes, link_groups
+from veldt.llm.kmv import _spread, compress, cube_sets, distinct_counts, distinct_cube, estimate, hash63, merge_cube, overlap, sketch_groups
 from veldt.llm.topn import top_n
+from veldt.plans.materialize import Scratch
 
 
 @pytest.mark.parametrize("heavy_rows", [5, 60, 100_000])
@@ -110,12 +111,31 @@ def test_partial_sketches_merge_across_days(spark):
             assert abs(x[4] / true[x[2]] - 1) < 0.35 and x[5] < x[4] < x[6]
 
 
+def test_a_day_of_nine_tenths_is_merged_over_several_tasks(spark):
+    """Its partial sketches are spread by a salt and merged there; what goes on are a few per group, and the result is the same."""
+    r = random.Random(17)
+    rows = [(date(2024, 1, 1) if k % 10 else date(2024, 1, 2 + k // 1000), r.choice("ab"), r.randrange(5000), r.randrange(5000)) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "day date, relation string, src long, dst long").repartition(40).sortWithinPartitions("src")
+    dims, sides, k, sets = ["day", "relation"], ("src", "dst"), 64, [("day", "relation"), ("day",), ()]
+    partials = Scratch(spark, "test").write(sketch_groups(df, dims, sides, k), "partials")
+    hot = F.col("day") == date(2024, 1, 1)
+    spread = _spread(partials, dims, sides, k, 20_000)
+    before, after = partials.filter(hot).count(), spread.filter(hot).count()
+    assert before == 80 and after < before / 2 and spread.filter(~hot).count() == partials.filter(~hot).count()
+    sizes = [x.n for x in spread.filter(hot).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 1 and max(sizes) < 0.9 * after
+    found = lambda b: sorted(tuple(x) for x in distinct_counts(merge_cube(partials, dims, sides, k, sets, b), dims, sides, k).toPandas().fillna("").itertuples(index=False))
+    assert found(20_000) == found(10**12)
+
+
 def test_distinct_cube_of_empty_table(spark):
     df = spark.createDataFrame([], "day date, src long, dst long")
     assert distinct_cube(df, ["day"], ("src", "dst"), spark.createDataFrame([], "id long")).count() == 0
 
 
-def test_link_groups(spark):
+@pytest.mark.parametrize(("last_links", "hub_rows"), [(5_000, None), (0, None), (60, 50)])
+def test_link_groups(spark, last_links, hub_rows):
+    """Within one task, by distributed levels alone, and by both with hubs apart."""
     r = random.Random(8)
     pairs = [(i, i + 1) for i in range(60)] + [(1000, x) for x in range(1001, 1100)] + [(r.randrange(2000, 2300), r.randrange(2000, 2300)) for _ in range(120)] + [(-5, -7), (-7, -5), (9999, 9999), (None, 3), (4, None), (5, 6), (2**62, -(2**62))]
     up = {}
@@ -133,13 +153,22 @@ def test_link_groups(spark):
             a, b = top(a), top(b)
             up[max(a, b)] = min(a, b)
     df = spark.createDataFrame([(a, b, "x") for a, b in pairs], "src long, dst long, component string")
-    got = link_groups(df)
+    got = link_groups(df, last_links=last_links, hub_rows=hub_rows)
     rows = got.collect()
     assert len(rows) == len(linked) and {x.id: x.component for x in rows} == {i: top(i) for i in linked}
     sizes = {x.size: x.groups for x in group_sizes(got).collect()}
     assert sizes[61] == 1 and sizes[100] == 1
 
 
+def test_decomposition_of_a_long_path_and_a_star():
+    n = 3000
+    a = np.r_[np.arange(n), np.full(500, 10_000)]
+    b = np.r_[np.arange(1, n + 1), np.arange(10_001, 10_501)]
+    ids, center = decompose(a, b, 5, 0.3, 42)
+    assert len(ids) == n + 1 + 501 and len(set(center[ids <= n])) == 1 and len(set(center[ids > n])) == 1
+    assert set(center) <= set(ids)
+
+
 def test_link_groups_of_nothing(spark):
     df = spark.createDataFrame([(1, 1), (None, 2)], "src long, dst long")
     assert link_groups(df).count() == 0 and link_groups(df.limit(0)).columns == ["id", "component"]

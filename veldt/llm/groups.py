@@ -162,6 +162,8 @@ def link_groups(
         links = nearer
         linked = links.select(F.explode(F.array("a", "b")).alias("center")).distinct()
         vertices = lows.join(linked, "center", "left_semi").select(F.col("center").alias("id"), "low")
+    if not levels:
+        return vertices.select("id", F.col("low").alias("component"))
     scratch.drop(f"links-{len(levels)}")
     scratch.drop(f"links-{len(levels) - 1}")
 
@@ -178,7 +180,7 @@ def link_groups(
         found = members.join(side, "center").select("id", "component")
         if level:
             found = scratch.write(found, f"found-{level}")
-    return found if found is not None else vertices.select("id", F.col("low").alias("component"))
+    return found
 
 
 def group_sizes(groups: DataFrame) -> DataFrame:
