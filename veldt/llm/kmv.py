@@ -10,14 +10,17 @@ values below the smaller theta.
 Every value carries one bit, whether the id is known; a packed sketch holds the k smallest values of
 all ids and the k smallest of the known ones, so that both sets come from one pass.
 
-Every task combines its own rows first (numpy, no row loop). The partial sketches are then shuffled
-by the leading dimension and merged as a stream: a task holds one value of it at a time, compressed.
+Every task combines its own rows first (numpy, no row loop) and its partial sketches are written. They
+are then shuffled by the leading dimension and merged as a stream: a task holds one value of it at a
+time, compressed. A value with many partials, a day that a third of all rows hold, say, is merged over
+several tasks first. Merged sketches are a table that can be stored, and merged again by coarser groups.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -91,6 +94,28 @@ def overlap(a: np.ndarray, b: np.ndarray, k: int, z: float = 2.0) -> dict[str, t
     return out
 
 
+def _counted(n: int, one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], k: int, z: float) -> np.ndarray:
+    """(estimate, lower, upper) of either side, union, both, and either side only, of ``n`` groups given as (group, entry).
+
+    Groups of fewer than k values on both sides and in their union are exact, and counted all at once.
+    """
+    (ra, a), (rb, b) = ((r, e >> np.uint64(1)) for r, e in (one, two))
+    na, nb = np.bincount(ra, minlength=n), np.bincount(rb, minlength=n)
+    order = np.lexsort((np.r_[a, b], np.r_[ra, rb]))
+    row, value = np.r_[ra, rb][order], np.r_[a, b][order]
+    twice = (row[1:] == row[:-1]) & (value[1:] == value[:-1]) if len(row) else np.zeros(0, bool)
+    both = np.bincount(row[1:][twice], minlength=n) if len(row) else np.zeros(n, np.int64)
+    exact = np.stack([na, nb, na + nb - both, both, na - both, nb - both], axis=1).astype(float)
+    out = np.repeat(exact[:, :, None], 3, axis=2)
+    starts = [np.searchsorted(r, np.arange(n + 1)) for r in (ra, rb)]
+    for g in np.flatnonzero((na >= k) | (nb >= k) | (na + nb - both >= k)).tolist():
+        x, y = (e[s[g] : s[g + 1]][:k] for e, s in zip((a, b), starts, strict=True))
+        shared = overlap(x, y, k, z)
+        union = np.union1d(x, y)[:k]
+        out[g] = [estimate(x, k, z)[:3], estimate(y, k, z)[:3], estimate(union, k, z)[:3], shared["both"], shared["a_only"], shared["b_only"]]
+    return out
+
+
 class _Table:
     """Growing arrays of (group, entry) that are compressed whenever they have doubled."""
 
@@ -154,12 +179,13 @@ def _packed(names: list[str], types: list[pa.DataType], keys: list[tuple], sides
         of = group[mine] // 2
         ends = np.searchsorted(of, at, side="right").astype(np.int64)
         offsets = np.r_[np.zeros(1, np.int64), ends] * 8
-        bodies.append(pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(entry[mine]))]).cast(pa.binary()))
+        bodies.append(pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(entry[mine]))]))
     rows = [keys[c] for c in at.tolist()]
     columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-    batch = pa.RecordBatch.from_arrays([*columns, *bodies], names=[*names, *(f"sketch_{s}" for s in sides)])
-    for first in range(0, len(rows), 2000):
-        yield batch.slice(first, 2000)
+    # all of a task's sketches may exceed the 2 GB of 32-bit offsets, 1,000 of them never do
+    for first in range(0, len(rows), 1000):
+        part = (x.slice(first, 1000) for x in columns)
+        yield pa.RecordBatch.from_arrays([*part, *(x.slice(first, 1000).cast(pa.binary()) for x in bodies)], names=[*names, *(f"sketch_{s}" for s in sides)])
 
 
 def _entries(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,11 +222,79 @@ def sketch_groups(df: DataFrame, dims: list[str], sides: tuple[str, str], k: int
     return picked.mapInArrow(scan, schema + "".join(f", sketch_{s} binary" for s in sides))
 
 
-def merge_cube(partials: DataFrame, dims: list[str], sides: tuple[str, str], k: int, sets: list[tuple[str, ...]]) -> DataFrame:
+def _schema(df: DataFrame, names: list[str], sides: tuple[str, str]) -> str:
+    return ", ".join(f"`{d}` {df.schema[d].dataType.simpleString()}" for d in names) + "".join(f", sketch_{s} binary" for s in sides)
+
+
+def _merge_partition(names: list[str], types: list[pa.DataType], sides: list[str], k: int):
+    """A function that merges the sketches of equal ``names`` within a partition."""
+    m = len(names)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, table = _Codes(), _Table(k)
+        for batch in batches:
+            key = _row_codes([batch.column(i) for i in range(m)], codes)
+            for side in (0, 1):
+                rows, entry = _entries(batch, m + side)
+                table.add(2 * key[rows] + side, entry)
+        yield from _packed(names, types, codes.keys, sides, *table.fold())
+
+    return merge
+
+
+def merge_groups(sketches: DataFrame, dims: list[str], sides: tuple[str, str], k: int, salts: int = 8) -> DataFrame:
+    """(dims..., sketch_<side>, sketch_<side>): stored sketches, say of days, merged by groups, say months.
+
+    Every group is merged over ``salts`` tasks first.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = [to_arrow_type(sketches.schema[d].dataType) for d in dims]
+    parts = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns, schema = [*dims, *(f"sketch_{s}" for s in sides)], _schema(sketches, dims, sides)
+    merge = _merge_partition(list(dims), types, list(sides), k)
+    salt = F.pmod(F.xxhash64(*(f"sketch_{s}" for s in sides)), F.lit(salts))
+    first = sketches.select(*columns, salt.alias("__salt")).repartition(parts, *dims, "__salt").select(*columns).mapInArrow(merge, schema)
+    return first.repartition(parts, *dims).mapInArrow(merge, schema)
+
+
+def _spread(partials: DataFrame, dims: list[str], sides: tuple[str, str], k: int, salt_bytes: int) -> DataFrame:
+    """``partials``, a written table, with those of every leading value of over ``salt_bytes`` merged to a few per group."""
+    lead = dims[0]
+    size = F.sum(sum((F.length(f"sketch_{s}") for s in sides), F.lit(0)))
+    heavy = partials.groupBy(lead).agg(size.alias("bytes")).filter(F.col("bytes") > salt_bytes)
+    # at most the sketches' bytes over salt_bytes: a handful of days
+    salts = heavy.select(lead, F.ceil(F.col("bytes") / F.lit(salt_bytes)).cast("int").alias("salts")).collect()
+    if not salts:
+        return partials
+    is_heavy = [F.col(lead).eqNullSafe(F.lit(r[0])) for r in salts]
+    count = F.coalesce(*(F.when(c, F.lit(r.salts)) for c, r in zip(is_heavy, salts, strict=True)))
+    hot = reduce(lambda a, b: a | b, is_heavy)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = [to_arrow_type(partials.schema[d].dataType) for d in dims]
+    parts = int(partials.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = partials.columns
+    salt = F.pmod(F.xxhash64(*(f"sketch_{s}" for s in sides)), count)
+    picked = partials.filter(hot).withColumn("__salt", salt).repartition(parts, lead, "__salt").select(*columns)
+    merged = picked.mapInArrow(_merge_partition(list(dims), types, list(sides), k), _schema(partials, dims, sides))
+    return partials.filter(~hot).union(merged)
+
+
+def merge_cube(
+    partials: DataFrame,
+    dims: list[str],
+    sides: tuple[str, str],
+    k: int,
+    sets: list[tuple[str, ...]],
+    salt_bytes: int = 64_000_000,
+) -> DataFrame:
     """Merged sketches (by, dims..., sketch_<side>, sketch_<side>) for every grouping set; dims outside a set are null.
 
     Sets with the leading dimension are finished in one shuffle by it; the others are combined there
-    and merged in a second, small shuffle. Both merges stream sorted rows.
+    and merged in a second, small shuffle. Both merges stream sorted rows. Leading values whose partial
+    sketches take more than ``salt_bytes`` are merged over several tasks before; ``partials`` should be
+    a written table, as it is read for that, too.
     """
     spark = partials.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -210,7 +304,8 @@ def merge_cube(partials: DataFrame, dims: list[str], sides: tuple[str, str], k:
     types = [to_arrow_type(partials.schema[d].dataType) for d in dims]
     inner = [s for s in sets if lead in s]
     outer = [s for s in sets if lead not in s]
-    schema = "`by` string, " + ", ".join(f"`{d}` {partials.schema[d].dataType.simpleString()}" for d in dims) + "".join(f", sketch_{s} binary" for s in sides)
+    schema = "`by` string, " + _schema(partials, dims, sides)
+    partials = _spread(partials, dims, sides, k, salt_bytes)
 
     def out(by: str, keys: list[tuple], group: np.ndarray, entry: np.ndarray) -> Iterator[pa.RecordBatch]:
         for part in _packed(dims, types, keys, labels, group, entry):
@@ -265,28 +360,13 @@ def merge_cube(partials: DataFrame, dims: list[str], sides: tuple[str, str], k:
         for s in outer:
             yield from out(",".join(s), coarse[s][0].keys, *coarse[s][1].fold())
 
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, tuple[_Codes, _Table]] = {}
-        for batch in batches:
-            bys = batch.column(0).to_pylist()
-            for by in sorted(set(bys)):
-                codes, table = tables.setdefault(by, (_Codes(), _Table(k)))
-                mine = np.array([b == by for b in bys])
-                key = _row_codes([batch.column(1 + i) for i in range(m)], codes)
-                for side in (0, 1):
-                    rows, entry = _entries(batch, 1 + m + side)
-                    take = mine[rows]
-                    table.add(2 * key[rows[take]] + side, entry[take])
-        for by, (codes, table) in tables.items():
-            yield from out(by, codes.keys, *table.fold())
-
     merged = partials.repartition(parts, lead).sortWithinPartitions(lead).mapInArrow(first, schema)
     if not outer:
         return merged
     # the sets without the leading dimension still have one partial per task
     names = [",".join(s) for s in outer]
     stage = Scratch(spark, "kmv").write(merged, "merged")
-    rest = stage.filter(F.col("by").isin(names)).repartition(parts, "by", *dims).mapInArrow(second, schema)
+    rest = stage.filter(F.col("by").isin(names)).repartition(parts, "by", *dims).mapInArrow(_merge_partition(["by", *dims], [pa.string(), *types], labels, k), schema)
     return stage.filter(~F.col("by").isin(names)).union(rest)
 
 
@@ -305,25 +385,21 @@ def distinct_counts(sketches: DataFrame, dims: list[str], sides: tuple[str, str]
     labels, m = list(sides), len(keys)
     schema = ", ".join(f"`{c}` {wide.schema[c].dataType.simpleString()}" for c in keys) + ", what string, scope string, estimate double, lower double, upper double"
 
+    names = [labels[0], labels[1], "union", "both", f"{labels[0]}_only", f"{labels[1]}_only"]
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, what, scope, est, low, high = [], [], [], [], [], []
-            sketches_ = [batch.column(m + i) for i in (0, 1)]
-            for r in range(batch.num_rows):
-                full = [np.frombuffer(c[r].as_py() or b"", np.uint64) for c in sketches_]
-                for name in ("all", "known"):
-                    a, b = ((x if name == "all" else x[x & np.uint64(1) == 1]) >> np.uint64(1) for x in full)
-                    a, b = a[:k], b[:k]
-                    u = np.union1d(a, b)[:k] if len(a) and len(b) else (a if len(a) else b)
-                    both = overlap(a, b, k, z) if len(a) or len(b) else dict.fromkeys(("both", "a_only", "b_only"), (0.0, 0.0, 0.0))
-                    for w, v in ((labels[0], estimate(a, k, z)[:3]), (labels[1], estimate(b, k, z)[:3]), ("union", estimate(u, k, z)[:3]), ("both", both["both"]), (f"{labels[0]}_only", both["a_only"]), (f"{labels[1]}_only", both["b_only"])):
-                        index.append(r)
-                        what.append(w)
-                        scope.append(name)
-                        est.append(v[0])
-                        low.append(v[1])
-                        high.append(v[2])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(index, pa.int64())) for i in range(m)), pa.array(what, pa.string()), pa.array(scope, pa.string()), *(pa.array(x, pa.float64()) for x in (est, low, high))], names=[*keys, "what", "scope", "estimate", "lower", "upper"])
+            n = batch.num_rows
+            (ra, ea), (rb, eb) = (_entries(batch, m + i) for i in (0, 1))
+            values = np.zeros((2, n, 6, 3))
+            for scope in (0, 1):
+                pa_, pb_ = ((r, e) if scope == 0 else (r[e & np.uint64(1) == 1], e[e & np.uint64(1) == 1]) for r, e in ((ra, ea), (rb, eb)))
+                values[scope] = _counted(n, pa_, pb_, k, z)
+            flat = values.transpose(1, 0, 2, 3).reshape(-1, 3)
+            index = pa.array(np.repeat(np.arange(n), 12))
+            what = pa.array(names * (2 * n), pa.string())
+            scope_ = pa.array((["all"] * 6 + ["known"] * 6) * n, pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(index) for i in range(m)), what, scope_, *(pa.array(flat[:, i]) for i in range(3))], names=[*keys, "what", "scope", "estimate", "lower", "upper"])
 
     return wide.mapInArrow(rows, schema)
 
@@ -354,6 +430,12 @@ def distinct_cube(df: DataFrame, dims: list[str], sides: tuple[str, str], parent
     own (``by`` tells it from a dimension summed over); repeated rows count once; an empty table
     gives no rows; other columns are not read.
     """
+    return distinct_counts(cube_sketches(df, dims, sides, parents, k, cube_sets(dims)), dims, sides, k)
+
+
+def cube_sketches(df: DataFrame, dims: list[str], sides: tuple[str, str], parents: DataFrame, k: int, sets: list[tuple[str, ...]], salt_bytes: int = 64_000_000) -> DataFrame:
+    """(by, dims..., sketch_<side>, sketch_<side>) for every grouping set: the mergeable results behind :func:`distinct_cube`."""
+    scratch = Scratch(df.sparkSession, "sketches")
     marked = mark_known(df.select(*dims, *sides), sides, parents)
-    partials = sketch_groups(marked, dims, sides, k, tuple(f"known_{s}" for s in sides))
-    return distinct_counts(merge_cube(partials, dims, sides, k, cube_sets(dims)), dims, sides, k)
+    partials = scratch.write(sketch_groups(marked, dims, sides, k, tuple(f"known_{s}" for s in sides)), "partials")
+    return merge_cube(partials, dims, sides, k, sets, salt_bytes)

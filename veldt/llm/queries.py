@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldt.llm.groups import group_sizes, link_groups
-from veldt.llm.kmv import cube_sets, distinct_cube
+from veldt.llm.kmv import cube_sets, cube_sketches, distinct_counts, distinct_cube, mark_known, merge_groups
 from veldt.llm.leaks import leak_report, leaked_passages
 from veldt.llm.mixture import mix_sources, mixture_shares
 from veldt.llm.sentences import split_sentences
 from veldt.llm.topn import top_n
+from veldt.operators.sizing import broadcast_if_small
+from veldt.plans.materialize import Scratch
 from veldt.sources.tables import table
 
 
@@ -18,6 +20,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(table(spark, d, "ranks"), "community", "id", "pagerank").select("community", "id")
 
 
+def p2_heavy_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The same with groups from 200 rows on as heavy, and with ranks."""
+    return top_n(table(spark, d, "ranks"), "community", "id", "pagerank", heavy_rows=200).select("community", "id", "rank")
+
+
 def p4_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "edges").withColumn("day", F.to_date("ts"))
     return distinct_cube(e, ["day", "relation", "feed"], ("src", "dst"), table(spark, d, "vertices"))
@@ -29,6 +36,45 @@ def p4_exact_groups(spark: SparkSession, d: str) -> DataFrame:
     return x.select("by", F.date_format("day", "yyyy-MM-dd").alias("day"), "relation", "feed", "what", "scope", "estimate")
 
 
+def p4_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """The mergeable partial results of every day, relation and feed; with k values at most and the known ones."""
+    e = table(spark, d, "edges").withColumn("day", F.to_date("ts"))
+    dims = ["day", "relation", "feed"]
+    return cube_sketches(e, dims, ("src", "dst"), table(spark, d, "vertices"), 4096, [tuple(dims)]).drop("by")
+
+
+def p4_month_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct ids per month and relation, merged from stored sketches of days; the groups that are exact."""
+    stored = Scratch(spark, "daily").write(p4_sketches(spark, d), "sketches")
+    dims = ["month", "relation"]
+    merged = merge_groups(stored.withColumn("month", F.date_format("day", "yyyy-MM")), dims, ("src", "dst"), 4096)
+    counts = distinct_counts(merged.withColumn("by", F.lit("month,relation")), dims, ("src", "dst"), 4096)
+    return counts.filter("what IN ('src', 'dst', 'union') AND estimate > 0 AND lower = upper").select(*dims, "what", "scope", "estimate")
+
+
+def p4_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """How many counts are estimates, and whether the exact number is within the bounds of nine in ten of them."""
+    dims = ["day", "relation", "feed"]
+    found = p4_distinct_counts(spark, d).filter("what IN ('src', 'dst', 'union') AND lower < upper").drop("estimate")
+    found = Scratch(spark, "estimates").write(found, "estimates")
+    e = mark_known(table(spark, d, "edges").select(F.to_date("ts").alias("day"), "relation", "feed", "src", "dst"), ("src", "dst"), table(spark, d, "vertices"))
+    ids = [(w, s) for w, sides in (("src", ("src",)), ("dst", ("dst",)), ("union", ("src", "dst"))) for s in sides]
+    each = F.explode(F.array(*(F.struct(F.lit(w).alias("what"), F.col(s).alias("id"), F.col(f"known_{s}").alias("known")) for w, s in ids)))
+    rows = e.select(*dims, each.alias("x")).select(*dims, "x.*").filter("id IS NOT NULL")
+    null = {c: F.lit(None).cast(rows.schema[c].dataType) for c in dims}
+    sets = F.array(*(F.struct(F.lit(",".join(s)).alias("by"), *((F.col(c) if c in s else null[c]).alias(c) for c in dims)) for s in cube_sets(dims)))
+    scopes = F.when(F.col("known"), F.array(F.lit("all"), F.lit("known"))).otherwise(F.array(F.lit("all")))
+    rows = rows.select("what", "id", F.explode(sets).alias("g"), scopes.alias("scopes")).select("g.*", "what", "id", F.explode("scopes").alias("scope"))
+    group = ["by", *dims, "what", "scope"]
+    same = F.lit(True)
+    wanted = found.select(*(F.col(c).alias(f"__{c}") for c in group), "lower", "upper")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    counted = rows.join(broadcast_if_small(wanted), same).groupBy(*group, "lower", "upper").agg(F.count_distinct("id").alias("n"))
+    within = F.avg(F.col("n").between(F.col("lower"), F.col("upper")).cast("double"))
+    return counted.agg(F.count(F.lit(1)).alias("estimates"), F.coalesce(within >= 0.9, F.lit(True)).alias("bounds_hold"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return link_groups(table(spark, d, "edges").filter("relation = 'same_as'"))
 
@@ -69,7 +115,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_distinct_counts, p4_exact_groups, p6_found, p6_group_sizes, p7_found, p7_edited_copies, p7_item_report, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_heavy_groups, p4_distinct_counts, p4_exact_groups, p4_sketches, p4_month_counts, p4_bounds, p6_found, p6_group_sizes, p7_found, p7_edited_copies, p7_item_report, p8_mix, p8_shares, p9_found)}
 
 _GROUPS = """
 WITH RECURSIVE arcs AS (
@@ -95,14 +141,21 @@ def _grouped(dims: tuple[str, ...]) -> str:
     return f"""SELECT '{",".join(dims)}' AS "by", {columns}, what, scope, CAST(count(DISTINCT id) AS DOUBLE) AS estimate FROM z GROUP BY {keys} HAVING count(DISTINCT id) < 4096"""
 
 
-SQL = {
-    "p4_exact_groups": _COUNTS + " UNION ALL ".join(map(_grouped, cube_sets(list(_DIMS)))),
-    "p2_found": """
-SELECT community, id FROM (
+_TOP = """
+SELECT * FROM (
   SELECT community, id, row_number() OVER (PARTITION BY community ORDER BY score DESC, id) AS r
   FROM (SELECT community, id, max(pagerank) AS score FROM ranks
         WHERE community IS NOT NULL AND id IS NOT NULL AND NOT isnan(pagerank) AND NOT isinf(pagerank) GROUP BY community, id) b) x
-WHERE r <= 10""",
+WHERE r <= 10"""
+_EVERY = " UNION ALL ".join(map(_grouped, cube_sets(list(_DIMS)))).replace("< 4096", ">= 4096")
+
+SQL = {
+    "p4_bounds": _COUNTS + f"SELECT count(*) AS estimates, true AS bounds_hold FROM ({_EVERY}) g",
+    "p4_month_counts": _COUNTS
+    + "SELECT substr(day, 1, 7) AS month, relation, what, scope, CAST(count(DISTINCT id) AS DOUBLE) AS estimate FROM z GROUP BY substr(day, 1, 7), relation, what, scope HAVING count(DISTINCT id) < 4096",
+    "p4_exact_groups": _COUNTS + " UNION ALL ".join(map(_grouped, cube_sets(list(_DIMS)))),
+    "p2_found": f"SELECT community, id FROM ({_TOP}) t",
+    "p2_heavy_groups": f"SELECT community, id, CAST(r AS INTEGER) AS rank FROM ({_TOP}) t",
     "p6_found": _GROUPS + "SELECT id, component FROM groups",
     "p6_group_sizes": _GROUPS + "SELECT size, count(*) AS groups FROM (SELECT component, count(*) AS size FROM groups GROUP BY component) s GROUP BY size",
 }

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldt.operators.sizing import broadcast_if_small
+from veldt.plans.materialize import Scratch
 
 
 def _best(df: DataFrame) -> DataFrame:
@@ -36,7 +37,8 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 10, heavy_r
     order = [F.desc("score"), F.asc("item")]
     rank = F.row_number().over(W.partitionBy("grp").orderBy(*order))
     heavy = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= heavy_rows).select("grp")
-    heavy = broadcast_if_small(heavy)
+    # counted once: both paths and the size check read it
+    heavy = broadcast_if_small(Scratch(df.sparkSession, "top-n").write(heavy, "heavy"))
 
     # one exchange: a shuffle by group also clusters (group, item)
     light = _best(rows.join(heavy, "grp", "left_anti").repartition("grp")).withColumn("rank", rank).filter(F.col("rank") <= n)
