@@ -5,10 +5,13 @@
    latest reference time and their number. So a key that a third of all rows hold is one row here.
 3. Per block, distinct keys are as-of matched to the preceding run start: a window over at most two
    rows per key of the block, hence of bounded size. Keys beyond the run's end are missing.
-4. Keys that exist are compared with their lifetimes over [earliest, latest]; only keys for which a
-   reference may fail ("suspects") go on.
-5. Suspects are joined back to the references: keys held by many rows are few (at most 1/share)
-   and always broadcast, the others are broadcast behind a check of their number and shuffled beyond.
+4. Keys that exist are compared with two of their lifetimes over [earliest, latest]: the first that is
+   still open, and the ended one that ends last. Only keys that neither covers ("suspects") go on.
+5. References to suspects are picked by a join with their ids, broadcast behind a check of their number
+   and shuffled beyond; there, keys held by many rows and found sound are left out before the shuffle.
+6. References to suspects that exist are as-of matched by (id, time) to the lifetimes that began by then:
+   a window with the running maximum of their ends. A key of many references is salted, its lifetimes
+   go to every salt; lifetimes are rows throughout, however many a key has.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veldt.operators.sizing import broadcast_if_small
+from veldt.operators.sizing import BROADCAST_ROWS, small
 from veldt.plans.materialize import Scratch
 
 
@@ -81,7 +84,8 @@ def orphan_references(
     loaded: str = "loaded_at",
     deleted: str = "deleted_at",
     block_bits: int = 13,
-    hot_share: float = 1e-4,
+    salt_rows: int = 500_000,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Distinct orphan references (ref_table, ref_key, ref_field, cause, period).
 
@@ -90,8 +94,7 @@ def orphan_references(
     the month of t. Defined results: null references are none; a null t can only be ``missing``,
     with a null period; a parent that was never loaded (null) counts as loaded from the start; null
     parent ids are ignored; repeated rows give one row; other columns are never read; empty tables
-    give an empty result, or all references as missing. A parent's ended lifetimes are held in one
-    array: it grows with how often one id was deleted, not with repeats.
+    give an empty result, or all references as missing.
     """
     spark = parents.sparkSession
     scratch = Scratch(spark, "orphans")
@@ -101,30 +104,40 @@ def orphan_references(
     every = reduce(DataFrame.union, [r.rows() for r in references])
     keys = every.groupBy("id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("n"))
     matched = asof_missing(contiguous_runs(versions, "id", block_bits), keys, "id", block_bits)
-    lives = versions.groupBy("id").agg(
-        F.min("from").alias("first"),
-        F.min(F.when(F.col("until").isNull(), F.col("from"))).alias("forever"),
-        F.collect_set(F.when(F.col("until").isNotNull(), F.struct("from", "until"))).alias("ended"),
+    ended = F.when(F.col("until").isNotNull(), F.struct("until", "from"))
+    lives = versions.groupBy("id").agg(F.min(F.when(F.col("until").isNull(), F.col("from"))).alias("forever"), F.max(ended).alias("latest"))
+    # safe: one lifetime covers all of the key's references
+    covered = F.coalesce(F.col("forever") <= F.col("t0"), F.lit(False)) | F.coalesce((F.col("latest.from") <= F.col("t0")) & (F.col("latest.until") > F.col("t1")), F.lit(False))
+    judged = matched.join(lives, "id", "left").select("id", "n", "missing", (F.col("missing") | (F.col("t0").isNotNull() & ~covered)).alias("suspect"))
+    # with the suspects the sound keys that many rows hold
+    kept = scratch.write(judged.filter(F.col("suspect") | (F.col("n") >= salt_rows)), "suspects")
+    salts = F.ceil(F.col("n") / F.lit(salt_rows)).cast("int")
+    suspects = kept.filter("suspect").select("id", "missing", salts.alias("salts"))
+
+    few = small(suspects, broadcast_rows)
+    side = F.broadcast(suspects) if few else suspects
+    # at most rows / salt_rows keys; at this number of suspects they are few beside them
+    sound = F.broadcast(kept.filter(~F.col("suspect")).select("id")) if not few and small(kept.filter(~F.col("suspect")), broadcast_rows) else None
+    picked = []
+    for r in references:
+        rows = r.rows()
+        picked.append((rows if sound is None else rows.join(sound, "id", "left_anti")).join(side, "id"))
+    names = ("ref_table", "ref_key", "ref_field")
+    refs = scratch.write(reduce(DataFrame.unionByName, picked), "references")
+
+    # the end of what never ends
+    far = F.timestamp_micros(F.lit(253402300799999999)).cast(parents.schema[deleted].dataType)
+    begun = versions.join(side.filter(~F.col("missing")), "id").select(
+        "id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("from").alias("t"), F.coalesce("until", far).alias("until"), F.lit(0).alias("kind")
     )
-    # safe: the open lifetime, or one ended lifetime, covers all of the key's references
-    covered = F.coalesce(F.col("forever") <= F.col("t0"), F.lit(False)) | F.exists("ended", lambda x: (x["from"] <= F.col("t0")) & (x["until"] > F.col("t1")))
-    suspects = scratch.write(
-        matched.join(lives, "id", "left").filter(F.col("missing") | (F.col("t0").isNotNull() & ~F.coalesce(covered, F.lit(False)))).select("id", "n", "missing", "first", "forever", "ended"),
-        "suspects",
-    )
-    total = suspects.agg(F.sum("n")).first()[0] or 0
-    # at most 1/hot_share keys reach this, however many rows there are
-    hot = F.col("n") >= max(1, int(total * hot_share))
-    t = F.col("t")
-    live = F.coalesce(F.col("forever") <= t, F.lit(False)) | F.exists("ended", lambda x: (x["from"] <= t) & (x["until"] > t))
-    cause = F.when(F.col("missing"), "missing").when(t.isNull() | live, None).when(F.col("first") <= t, "deleted").otherwise("late")
-
-    def judged(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("cause", cause).filter("cause IS NOT NULL").select("ref_table", "ref_key", "ref_field", "cause", F.date_format("t", "yyyy-MM").alias("period"))
-
-    rare = broadcast_if_small(suspects.filter(~hot).drop("n"))
-    parts = [judged(r.rows().join(side, "id")) for r in references for side in (F.broadcast(suspects.filter(hot).drop("n")), rare)]
-    return reduce(DataFrame.union, parts).distinct()
+    salt = F.pmod(F.xxhash64("ref_key", "t"), F.col("salts")).cast("int")
+    asked = refs.filter(~F.col("missing") & F.col("t").isNotNull()).select("id", salt.alias("salt"), "t", F.lit(1).alias("kind"), *names)
+    so_far = W.partitionBy("id", "salt").orderBy("t", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    matched = begun.unionByName(asked, allowMissingColumns=True).withColumn("until", F.max("until").over(so_far)).filter("kind = 1")
+    cause = F.when(F.col("until").isNull(), "late").when(F.col("until") <= F.col("t"), "deleted")
+    found = matched.select(*names, cause.alias("cause"), "t").filter("cause IS NOT NULL")
+    missing = refs.filter("missing").select(*names, F.lit("missing").alias("cause"), "t")
+    return missing.union(found).select(*names, "cause", F.date_format("t", "yyyy-MM").alias("period")).distinct()
 
 
 def orphans_by_period(orphans: DataFrame) -> DataFrame:
