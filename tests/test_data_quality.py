@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from veldt.operators.delimited import DelimitedRecords, parse_batch
 from veldt.operators.orphans import References, asof_missing, contiguous_runs, orphan_references
@@ -122,8 +123,9 @@ def orphan_cases(versions, refs):
     return out
 
 
-@pytest.mark.parametrize("hot_share", [1e-4, 0.2])
-def test_orphans_against_brute_force(spark, hot_share):
+@pytest.mark.parametrize(("salt_rows", "broadcast_rows"), [(500_000, 400_000), (9, 400_000), (9, 0), (40, 20)])
+def test_orphans_against_brute_force(spark, salt_rows, broadcast_rows):
+    """Also with hot keys over several salts, and with suspects beyond the size check."""
     r = random.Random(5)
     versions = []
     for i in [x for x in range(-20, 60) if x % 7]:
@@ -136,7 +138,7 @@ def test_orphans_against_brute_force(spark, hot_share):
     v = spark.createDataFrame(versions, VERSIONS)
     e = spark.createDataFrame(edges, "edge_id long, src long, dst long, loaded_at timestamp_ntz, id double")
     refs = [(k, f, x, t) for k, s, d, t, _ in edges for f, x in (("src", s), ("dst", d))]
-    got = orphan_references(v, [References(e, "edges", "edge_id", ("src", "dst"), "loaded_at")], block_bits=3, hot_share=hot_share)
+    got = orphan_references(v, [References(e, "edges", "edge_id", ("src", "dst"), "loaded_at")], block_bits=3, salt_rows=salt_rows, broadcast_rows=broadcast_rows)
     rows = [tuple(x) for x in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == orphan_cases(versions, refs)
 
@@ -194,13 +196,22 @@ def test_heavy_hitters_and_profile(spark):
     assert heavy_hitters(df.limit(0), ["src"], 0.01).count() == 0 and degree_profile(df.limit(0)).count() == 0
 
 
-def test_orphans_without_broadcast(spark, monkeypatch):
-    """Beyond the size check suspects are shuffled; the result is the same."""
-    import veldt.operators.sizing as sizing
-
-    v = spark.createDataFrame([(1, day(5), day(9), "k"), (2, day(1), None, "k")], VERSIONS)
-    e = spark.createDataFrame([(k, k % 4, 2, day(1 + k)) for k in range(20)], "edge_id long, src long, dst long, loaded_at timestamp_ntz")
-    found = lambda: sorted(tuple(x) for x in orphan_references(v, [References(e, "edges", "edge_id", ("src", "dst"), "loaded_at")]).collect())
-    want = found()
-    monkeypatch.setattr(sizing, "small", lambda *a, **k: False)
-    assert found() == want and {x[3] for x in want} == {"missing", "late", "deleted"}
+def test_orphans_of_an_id_deleted_very_often(spark):
+    """10^5 lifetimes of one id are 10^5 rows, never one value; half of its references fall between two."""
+    n = 100_000
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    at = lambda minutes: start + F.make_dt_interval(mins=minutes)
+    k = F.col("id").cast("int")
+    v = spark.range(n).select(F.lit(5).cast("long").alias("id"), at(4 * k).alias("loaded_at"), at(4 * k + 2).alias("deleted_at"))
+    e = spark.range(1000).select(F.col("id").alias("edge_id"), F.lit(5).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), at(398 * k + 1).alias("loaded_at"))
+    found = orphan_references(v, [References(e, "edges", "edge_id", ("src", "dst"), "loaded_at")], salt_rows=100)
+    got = {r.ref_key: r.cause for r in found.collect()}
+    assert got == {i: "deleted" for i in range(1000) if (398 * i + 1) % 4 >= 2}
+    assert "collect_" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profile_shuffles_light_keys_once(spark):
+    df = spark.createDataFrame([(k % 5, k % 17, 1.0) for k in range(100)], "src long, dst long, weight double")
+    plan = degree_profile(df)._jdf.queryExecution().executedPlan().toString()
+    light, heavy = plan.split("LeftSemi")[0], plan.count("Exchange hashpartitioning")
+    assert light.count("REPARTITION_BY_COL") == 1 and heavy == 3  # one of light keys, two of heavy ones

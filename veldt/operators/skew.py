@@ -8,7 +8,6 @@ holds a heavy key alone. All other keys take one ordinary shuffle; the results a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -61,19 +60,26 @@ def frequency_sketch(df: DataFrame, columns: list[str], counters: int) -> DataFr
     return made.groupBy("side", "id").agg(F.sum("at_least").alias("at_least"))
 
 
-def heavy_hitters(df: DataFrame, columns: list[str], share: float) -> DataFrame:
-    """(side, id, n): the non-null values that at least ``share`` of all rows hold, with exact counts.
+def _candidates(df: DataFrame, columns: list[str], share: float, total: int) -> DataFrame:
+    """(side, id): every value that at least ``share`` of the ``total`` rows hold, and few others.
 
-    The sketch keeps 4 / share counters, so that it misses none; candidates are at most
-    4 / (3 share) per column, hence collected and broadcast; the exact count decides. An empty table
-    has none; repeated rows count each; other columns are not read.
+    The sketch keeps 4 / share counters; so there are at most 4 / (3 share) candidates per column, which are
+    collected to become a broadcast side.
     """
-    spark = df.sparkSession
     counters = max(1, int(4 / share))
-    total = df.count()
     floor = share * total - total / (counters + 1)
     rows = frequency_sketch(df, columns, counters).filter(F.col("at_least") >= floor).select("side", "id").collect()
-    found = spark.createDataFrame([(r.side, r.id) for r in rows], "side string, id long")
+    return df.sparkSession.createDataFrame([(r.side, r.id) for r in rows], "side string, id long")
+
+
+def heavy_hitters(df: DataFrame, columns: list[str], share: float) -> DataFrame:
+    """(side, id, n): the non-null values that at least ``share`` of all rows hold, with exact counts.
+
+    The sketch misses none; the exact count of its candidates decides. An empty table has none;
+    repeated rows count each; other columns are not read.
+    """
+    total = df.count()
+    found = _candidates(df, columns, share, total)
     each = F.array(*(F.struct(F.lit(c).alias("side"), df[c].cast("long").alias("id")) for c in columns))
     counted = df.select(F.explode(each).alias("x")).select("x.*").join(F.broadcast(found), ["side", "id"]).groupBy("side", "id").agg(F.count(F.lit(1)).alias("n"))
     return counted.filter(F.col("n") >= F.lit(share * total))
@@ -83,29 +89,23 @@ def degree_profile(df: DataFrame, ends: tuple[str, str] = ("src", "dst"), weight
     """(side, id, degree, weighted, weight_sum, neighbours) of every id on either side.
 
     degree counts rows, ``weighted`` the rows of a finite weight and weight_sum adds those (null
-    where there are none), neighbours counts distinct non-null other ends. Heavy keys, at least
-    ``heavy_share`` of all rows, are aggregated by (key, neighbour) first, light ones in a single
-    shuffle by key. Null ids have no row; repeated rows count each time; an empty table gives none.
+    where there are none), neighbours counts distinct non-null other ends. Rows of both sides come
+    from one scan. Light keys take one shuffle, by (side, key), in which neighbours and keys are
+    aggregated; heavy ones, about ``heavy_share`` of all rows or more, are combined by (side, key,
+    neighbour) before theirs. Null ids have no row; repeated rows count each time; an empty table
+    gives none.
     """
-    spark = df.sparkSession
-    heavy = [(r.side, r.id) for r in heavy_hitters(df, list(ends), heavy_share).select("side", "id").collect()]  # at most 1/share per side
+    heavy = F.broadcast(_candidates(df, list(ends), heavy_share, df.count()))
     w = df[weight].cast("double")
     finite = F.when(w.isNotNull() & ~F.isnan(w) & (F.abs(w) < F.lit(float("inf"))), w)
-    out = []
-    for side, other in (ends, ends[::-1]):
-        ids = spark.createDataFrame([(i,) for s, i in heavy if s == side], "id long")
-        rows = df.select(df[side].cast("long").alias("id"), df[other].cast("long").alias("nbr"), finite.alias("w")).filter("id IS NOT NULL")
-        light = (
-            rows.join(F.broadcast(ids), "id", "left_anti")
-            .groupBy("id")
-            .agg(F.count(F.lit(1)).alias("degree"), F.count("w").alias("weighted"), F.sum("w").alias("weight_sum"), F.count_distinct("nbr").alias("neighbours"))
-        )
-        hot = (
-            rows.join(F.broadcast(ids), "id", "left_semi")
-            .groupBy("id", "nbr")
-            .agg(F.count(F.lit(1)).alias("degree"), F.count("w").alias("weighted"), F.sum("w").alias("weight_sum"))
-            .groupBy("id")
-            .agg(F.sum("degree").alias("degree"), F.sum("weighted").alias("weighted"), F.sum("weight_sum").alias("weight_sum"), F.count("nbr").alias("neighbours"))
-        )
-        out += [x.select(F.lit(side).alias("side"), "id", "degree", "weighted", "weight_sum", "neighbours") for x in (light, hot)]
-    return reduce(DataFrame.union, out)
+    one, two = (df[c].cast("long") for c in ends)
+    each = F.array(*(F.struct(F.lit(s).alias("side"), a.alias("id"), b.alias("nbr")) for s, a, b in zip(ends, (one, two), (two, one), strict=True)))
+    rows = df.select(finite.alias("w"), F.explode(each).alias("x")).select("x.*", "w").filter("id IS NOT NULL")
+
+    def profile(picked: DataFrame) -> DataFrame:
+        near = picked.groupBy("side", "id", "nbr").agg(F.count(F.lit(1)).alias("degree"), F.count("w").alias("weighted"), F.sum("w").alias("weight_sum"))
+        whole = (F.sum(c).alias(c) for c in ("degree", "weighted", "weight_sum"))
+        return near.groupBy("side", "id").agg(*whole, F.count("nbr").alias("neighbours"))
+
+    light = rows.join(heavy, ["side", "id"], "left_anti").repartition("side", "id")
+    return profile(light).union(profile(rows.join(heavy, ["side", "id"], "left_semi")))
