@@ -1,9 +1,11 @@
 """Evaluation texts leaking into training text.
 
 1. Both texts are normalised alike and read as a sequence of units: words, or for items in zh and ja
-   letters and digits. Test items are held on every executor in blocks of checked size.
-2. Every document is scanned once for n-grams of the items (a rolling hash over the whole batch, looked up
-   in the items' sorted table), and the document frequency of every n-gram is counted over the corpus.
+   letters and digits. Test items are taken in blocks of a bounded number of characters, one block of either
+   kind at a time: it is broadcast, used in a round over the documents whose result is written, and released.
+   So neither the driver nor an executor nor a task's closure holds more than a block of them.
+2. Every document is scanned once a round for n-grams of the items (a rolling hash over the whole batch, looked
+   up in the items' sorted table). Hits, their document frequencies and the seeds are tables.
 3. For whole passages, seeds are rare n-grams: of each window of the required length in an item, the one that
    the fewest documents hold, at least one. A document that contains the window contains its seed, so seeds
    lose nothing. For edited copies every n-gram of an item is a seed: the rare ones are just those that an
@@ -13,7 +15,9 @@
    least. Asked for are a quarter of the item's words, a third less one of its letters. Documents are then aligned
    where they are scanned.
 4. Documents that share a seed with an item are aligned with it by Smith-Waterman over units, which scores
-   edited and paraphrased copies; the longest common run is measured exactly alongside.
+   edited and paraphrased copies; the longest common run is measured exactly alongside. Where seeds are n-grams,
+   only what is within twice the item's length of a common n-gram is aligned: no copy of similarity 0.5 or
+   more, nor a common run of the required length, reaches further.
 """
 
 from __future__ import annotations
@@ -25,7 +29,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldt.llm.tokens import slices
@@ -98,11 +104,11 @@ def _grams(codes: np.ndarray, n: int) -> np.ndarray:
 class Items:
     """A block of test items as unit codes, with their n-grams and windows."""
 
-    def __init__(self, rows: list[tuple[int, str, str]], by_character: bool, n: int, window: int):
+    def __init__(self, rows: list[tuple[int, str]], by_character: bool, n: int, window: int):
         self.by_character, self.n, self.window = by_character, n, window
         self.vocabulary: dict = {}
         self.codes: dict[int, np.ndarray] = {}
-        for item, text, _ in rows:
+        for item, text in rows:
             units = points(normalise(text)).tolist() if by_character else words(normalise(text))
             self.codes[item] = np.array([self.vocabulary.setdefault(u, len(self.vocabulary) + 1) for u in units], dtype=np.int64)
         grams = {i: _grams(c, n) for i, c in self.codes.items()}
@@ -139,22 +145,23 @@ class Items:
         get = self.vocabulary.get
         return np.array([get(w, 0) for w in words(text)], dtype=np.int64)
 
-    def seeds(self, frequency: np.ndarray) -> list[tuple[int, int]]:
-        """(gram, item): of every window the gram that the fewest documents hold, but at least one does.
-
-        Grams that no document holds find nothing; a window with one of them occurs nowhere whole, yet
-        its other grams find edited copies.
-        """
-        out = set()
-        span = self.window - self.n + 1
-        for item, grams in self.grams.items():
-            for i in range(max(0, len(grams) - span + 1)):
-                part = grams[i : i + span]
-                counts = frequency[part]
-                best = int(part[np.argmin(np.where(counts > 0, counts, np.iinfo(np.int64).max))])
-                if frequency[best]:
-                    out.add((best, item))
-        return sorted(out)
+    def near(self, codes: np.ndarray, items: list[int]) -> list[np.ndarray]:
+        """Of a document's codes, for each item those within twice its length of a common n-gram; 0 between the parts."""
+        grams = _grams(codes, self.n)
+        at = np.flatnonzero(grams)
+        place = np.minimum(np.searchsorted(self.table, grams[at]), max(0, len(self.table) - 1))
+        hit = self.table[place] == grams[at] if len(self.table) else np.zeros(len(at), bool)
+        at, place, out = at[hit], place[hit], []
+        for item in items:
+            mine, reach = at[np.isin(place, self.grams[item])], 2 * len(self.codes[item])
+            steps = np.zeros(len(codes) + 2, dtype=np.int64)
+            np.add.at(steps, np.maximum(0, mine - reach), 1)
+            np.add.at(steps, np.minimum(len(codes), mine + self.n + reach), -1)
+            inside = np.cumsum(steps)[: len(codes) + 1] > 0
+            taken = inside.copy()
+            taken[1:] |= inside[:-1]  # one more place after each part
+            out.append(np.where(inside, np.append(codes, 0), 0)[taken])
+        return out
 
 
 def _padded(rows: list[np.ndarray], filler: int) -> np.ndarray:
@@ -242,14 +249,14 @@ def align(doc: np.ndarray, item: np.ndarray, match: int = 2, mismatch: int = 1,
     return int(scores([doc], [item], match, mismatch, gap)[0]), int(longest_runs([doc], [item])[0])
 
 
-def _scan(docs: DataFrame, key: str, text: str, blocks: list[Items]) -> DataFrame:
+def _scan(docs: DataFrame, key: str, text: str, shared: Broadcast) -> DataFrame:
     """(key, block, gram): the item n-grams of every document, each once."""
     kind = docs.schema[key].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [normalise(t) if t else "" for t in batch.column(1).to_pylist()]
-            for b, items in enumerate(blocks):
+            for b, items in enumerate(shared.value):
                 if not len(items.table):
                     continue
                 codes = [items.read(t) for t in texts]
@@ -269,21 +276,55 @@ def _scan(docs: DataFrame, key: str, text: str, blocks: list[Items]) -> DataFram
     return docs.select(key, text).mapInArrow(rows, f"`{key}` {kind}, block int, gram long")
 
 
-def _aligned(found: DataFrame, key: str, text: str, blocks: list[Items]) -> DataFrame:
+def _item_grams(listed: DataFrame, shared: Broadcast) -> DataFrame:
+    """(block, item, at, gram) of every place of an n-gram in the items of the round."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item in batch.column(0).to_pylist():
+                b, items = next((b, x) for b, x in enumerate(shared.value) if item in x.grams)
+                grams = items.grams[item].astype(np.int64)
+                n = len(grams)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, b, np.int32)), pa.array(np.full(n, item, np.int64)), pa.array(np.arange(n)), pa.array(grams)], names=["block", "item", "at", "gram"])
+
+    return listed.select("item").mapInArrow(rows, "block int, item long, at long, gram long")
+
+
+def _rare_seeds(grams: DataFrame, hits: DataFrame, spans: list[int]) -> DataFrame:
+    """(block, gram, item): of every window of ``spans[block]`` n-grams the one that the fewest documents hold, but at least one does.
+
+    Grams that no document holds find nothing; a window with one of them occurs nowhere whole.
+    """
+    held = hits.groupBy("block", "gram").agg(F.count(F.lit(1)).alias("documents"))
+    known = grams.join(held, ["block", "gram"], "left")
+    best = F.min(F.when(F.col("documents") > 0, F.struct("documents", "gram")))
+    parts = []
+    for b, span in enumerate(spans):
+        window = W.partitionBy("item").orderBy("at").rowsBetween(0, span - 1)
+        whole = F.count(F.lit(1)).over(window) == span
+        parts.append(known.filter(F.col("block") == b).select("block", "item", best.over(window).alias("best"), whole.alias("whole")).filter("whole AND best IS NOT NULL"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out.select("block", F.col("best.gram").alias("gram"), "item").distinct()
+
+
+def _aligned(found: DataFrame, key: str, text: str, shared: Broadcast) -> DataFrame:
     kind = found.schema[key].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = shared.value
         for batch in slices(batches):
             index, which, texts = [], [], []
             for r, (value, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 clean = normalise(value or "")
-                codes: dict[int, np.ndarray] = {}
+                by_block: dict[int, list[int]] = {}
                 for x in wanted:
-                    if x["block"] not in codes:
-                        codes[x["block"]] = blocks[x["block"]].read(clean)
-                    index.append(r)
-                    which.append((blocks[x["block"]], x["item"]))
-                    texts.append(codes[x["block"]])
+                    by_block.setdefault(x["block"], []).append(x["item"])
+                for b, mine in by_block.items():
+                    index += [r] * len(mine)
+                    which += [(blocks[b], i) for i in mine]
+                    texts += blocks[b].near(blocks[b].read(clean), mine)
             wanted = [items.codes[i] for items, i in which]
             out = []
             for (items, i), score, longest in zip(which, scores(texts, wanted).tolist(), longest_runs(texts, wanted).tolist(), strict=True):
@@ -324,14 +365,14 @@ def _likely(items: Items, codes: list[np.ndarray], least: int | None = None, wit
     return np.unique(of[able[near]] * len(items.lengths) + item[able[near]])
 
 
-def _resembling(docs: DataFrame, key: str, text: str, blocks: list[tuple[Items, Items]], similarity: float) -> DataFrame:
+def _resembling(docs: DataFrame, key: str, text: str, shared: Broadcast, similarity: float) -> DataFrame:
     """The rows of :func:`leaked_passages` with edited copies: documents are scanned and aligned in one pass."""
     kind = docs.schema[key].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [normalise(t) if t else "" for t in batch.column(1).to_pylist()]
-            for items, short in blocks:
+            for items, short in shared.value:
                 codes = [items.read(t) for t in texts]
                 pairs = np.union1d(_likely(items, codes), _likely(short, codes))
                 seeded = _likely(items, codes, items.window - items.n + 1, items.window - items.n)
@@ -367,7 +408,7 @@ def leaked_passages(
     window_characters: int = 24,
     n: int = 5,
     n_characters: int = 12,
-    block_items: int = 20_000,
+    block_characters: int = 10_000_000,
     edited: bool = True,
     similarity: float = 0.5,
 ) -> DataFrame:
@@ -384,34 +425,90 @@ def leaked_passages(
     ``n_characters`` either: those with units added at most places, items of under four units with a change,
     and items of one unit. Defined results: null and empty texts match nothing, items shorter than the window are
     not contained in any; repeated documents give repeated rows; other columns are not read; an empty table on
-    either side gives an empty result. Items are processed in blocks of ``block_items``, so that what an
-    executor holds does not grow with their number.
+    either side gives an empty result; items need distinct ids. Items are taken in blocks of some
+    ``block_characters``, so that what the driver and an executor hold does not grow with their number.
     """
     spark = docs.sparkSession
-    listed = [(r[0], r[1], (r[2] or "").strip().lower()[:2]) for r in items.select(F.col(item).cast("long"), item_text, item_lang).filter(F.col(item_text).isNotNull()).toLocalIterator()]
-    blocks = []
-    for by_character, size, gram in ((False, window, n), (True, window_characters, n_characters)):
-        mine = [r for r in listed if (r[2] in BY_CHARACTER) == by_character]
-        blocks += [Items(mine[i : i + block_items], by_character, gram, size) for i in range(0, len(mine), block_items)]
-    if edited:
-        pairs = [(b, Items([r for r in listed if r[0] in b.codes], b.by_character, 2, b.window)) for b in blocks]
-        for _, short in pairs:
-            short.least = np.maximum(1, short.lengths // 4 if not short.by_character else -(-short.lengths // 3) - 1)
-        return _resembling(docs, key, text, pairs, similarity)
     scratch = Scratch(spark, "leaks")
-    hits = scratch.write(_scan(docs, key, text, blocks), "hits")
-    # at most one row per n-gram of the items
-    frequency = [np.zeros(max(1, len(b.table)), dtype=np.int64) for b in blocks]
-    for r in hits.groupBy("block", "gram").agg(F.count(F.lit(1)).alias("documents")).toLocalIterator():
-        frequency[r.block][r.gram] = r.documents
-    seeds = [(b, g, i) for b, x in enumerate(blocks) for g, i in x.seeds(frequency[b])]
-    rare = spark.createDataFrame(seeds, "block int, gram long, item long")
-    pairs = hits.join(broadcast_if_small(rare), ["block", "gram"]).groupBy(key).agg(F.collect_set(F.struct("block", "item")).alias("wanted"))
-    pairs = scratch.write(pairs, "pairs")
-    found = docs.select(key, text).join(broadcast_if_small(pairs, 100_000), key)
-    # few documents are left: spread them before the costly step
+    listed, rounds = _rounds(items.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text"), F.col(item_lang).alias("lang")), block_characters, scratch)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return _aligned(found.select(key, text, "wanted").repartition(parts), key, text, blocks)
+    results = []
+    for k in range(rounds):
+        mine = listed.filter(F.col("round") == k)
+        rows = mine.select("item", "text", "by_character").collect()  # a block of either kind at most
+        blocks = []
+        for by_character, size, gram in ((False, window, n), (True, window_characters, n_characters)):
+            if some := [(r.item, r.text) for r in rows if r.by_character == by_character]:
+                blocks.append((Items(some, by_character, gram, size), Items(some, by_character, 2, size) if edited else None))
+        if edited:
+            for _, short in blocks:
+                short.least = np.maximum(1, short.lengths // 4 if not short.by_character else -(-short.lengths // 3) - 1)
+            shared = spark.sparkContext.broadcast(blocks)
+            results.append(scratch.write(_resembling(docs, key, text, shared, similarity), f"result-{k}"))
+        else:
+            shared = spark.sparkContext.broadcast([b for b, _ in blocks])
+            hits = scratch.write(_scan(docs, key, text, shared), f"hits-{k}")
+            seeds = _rare_seeds(_item_grams(mine, shared), hits, [b.window - b.n + 1 for b, _ in blocks])
+            seeds = scratch.write(seeds, f"seeds-{k}")
+            wanted = F.collect_set(F.struct("block", "item")).alias("wanted")  # of the block's items
+            pairs = scratch.write(hits.join(broadcast_if_small(seeds), ["block", "gram"]).groupBy(key).agg(wanted), f"pairs-{k}")
+            found = docs.select(key, text).join(broadcast_if_small(pairs, 100_000), key)
+            # few documents are left: spread them before the costly step
+            aligned = _aligned(found.select(key, text, "wanted").repartition(parts), key, text, shared)
+            results.append(scratch.write(aligned, f"result-{k}"))
+            for name in ("hits", "seeds", "pairs"):
+                scratch.drop(f"{name}-{k}")
+        shared.destroy()
+    scratch.drop("items")
+    if not results:
+        kind = docs.schema[key].dataType.simpleString()
+        return spark.createDataFrame([], f"`{key}` {kind}, item_id long, unit string, similarity double, longest_run int, contains boolean")
+    out = results[0]
+    for more in results[1:]:
+        out = out.union(more)
+    return out
+
+
+def _rounds(items: DataFrame, block_characters: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(item, text, by_character, round) of the items with a text, and the number of rounds.
+
+    Items are dealt to the rounds by a hash of their id, so that a round has some ``block_characters`` of
+    either kind.
+    """
+    by_character = F.coalesce(F.substring(F.lower(F.trim("lang")), 1, 2), F.lit("")).isin(*sorted(BY_CHARACTER))
+    known = items.filter("text IS NOT NULL AND item IS NOT NULL").select("item", "text", by_character.alias("by_character"))
+    totals = known.groupBy("by_character").agg(F.sum(F.length("text") + 1).alias("n")).collect()
+    rounds = max((-(-r.n // block_characters) for r in totals), default=0)
+    number: Column = F.pmod(F.xxhash64("item"), F.lit(max(1, rounds))).cast("int")
+    return scratch.write(known.withColumn("round", number), "items"), rounds
+
+
+def windows_in(docs: DataFrame, items: list[tuple[int, str | None, str | None]], key: str = "doc_id", text: str = "text", window: int = 10, window_characters: int = 24) -> DataFrame:
+    """(key, item_id) of every document that holds a whole window of one of the few ``items``, by brute force: the check of :func:`leaked_passages`."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def parts(value: str | None, by_character: bool) -> set[str]:
+        clean = normalise(value or "")
+        units = list(map(chr, points(clean))) if by_character else words(clean)
+        n = window_characters if by_character else window
+        return {" ".join(units[i : i + n]) for i in range(len(units) - n + 1)}
+
+    owners: dict[bool, dict[str, set[int]]] = {False: {}, True: {}}
+    for item, value, lang in items:
+        by_character = (lang or "").strip().lower()[:2] in BY_CHARACTER
+        for x in parts(value, by_character):
+            owners[by_character].setdefault(x, set()).add(item)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            index, found = [], []
+            for r, value in enumerate(batch.column(1).to_pylist()):
+                mine = {i for by_character, known in owners.items() for x in parts(value, by_character) & known.keys() for i in known[x]}
+                index += [r] * len(mine)
+                found += sorted(mine)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), pa.array(found, pa.int64())], names=[key, "item_id"])
+
+    return docs.select(key, text).mapInArrow(rows, f"`{key}` {kind}, item_id long")
 
 
 def leak_report(leaks: DataFrame) -> DataFrame:
