@@ -4,7 +4,8 @@ A text falls into blocks at blank lines. Within a block every end mark (and, in
 space between two letters) is a possible end of a span. The best segmentation maximises the sum of
 span scores, each of which weighs jointly
 
-* the closing word: abbreviations, numbers, initials, units, chained abbreviations;
+* the closing words: abbreviations, numbers, initials, units, chained abbreviations, judged by the words
+  before them within the span: a span that is but the number of what follows ends nowhere;
 * the opening word of what follows: case, list and paragraph numbers, particles that go on with the
   sentence after a quotation;
 * balanced quotations and brackets, of any length within the block: a span that cuts one pays for it;
@@ -54,10 +55,16 @@ _PARAGRAPH = re.compile(r"[\[【]\s*\d{2,6}\s*[\]】]")
 _CAMEL = re.compile(r"[a-z]{1,2}[A-Z]")
 _UNSPACED = re.compile(r"[A-ZÀ-ÞА-Я](?:[^\W\d_A-ZÀ-ÞА-Я]|\s[a-zß-ÿа-я])")
 _CAPITALS = re.compile(r"[A-ZÀ-ÞА-Я]+\s+[A-ZÀ-ÞА-Я]{2}")
+_OPERATOR = re.compile(r"[+=·×÷*/^<>≤≥±−.]+")
 _NUMBER = re.compile(r"[\d.,:/–-]*\d[\d.,:/–-]*")
 
 #: Ends that score less are never worth taking: the rest of a span's score varies by less.
 _HOPELESS = -1.0
+#: What may end a sentence before the number of the claim that follows.
+_BEFORE_CLAIM = ".!?。…」”\"»)؟।"
+_SPEECH_END = ".!?。…”\"»)"
+#: Closing words are judged by so many characters before the mark at most.
+_CONTEXT = 48
 #: From this length on a longer span scores less.
 _USUAL = 90
 
@@ -108,6 +115,15 @@ def _opening(text: str, n: int, end: int) -> tuple[float, str]:
     return -3.0, "other"
 
 
+def _ends(text: str, start: int, word: str, at: int) -> bool:
+    """Whether ``word``, which is at ``at`` and has an end mark, may be a sentence's last before a claim number."""
+    if len(word) == 2 and word[0].isalpha() and word[1] == ".":
+        # an initial, unless it is a unit after a number or the last sign of a formula
+        earlier = _BEFORE.search(text, max(start, at - 24), at)
+        return bool(earlier) and bool(_NUMBER.fullmatch(earlier.group(1)) or _OPERATOR.fullmatch(earlier.group(1)))
+    return word.rstrip(_SPEECH_END).lower() not in _ABBREVIATIONS and word.rstrip(".").lower() not in _BEFORE_NUMBER
+
+
 def _closing(text: str, start: int, at: int, kind: str, after: int) -> float:
     """Score of the word that ends in the full stop at ``at`` as the last of a sentence."""
     token = _TOKEN.search(text, max(start, at - 24), at).group()
@@ -124,7 +140,7 @@ def _closing(text: str, start: int, at: int, kind: str, after: int) -> float:
         head = text[start : at - len(token)]
         if not head.strip() or _PARAGRAPH.fullmatch(head.strip()):
             return -9.0  # the number that introduces the block
-        if kind in ("upper", "caseless") and len(token) <= 3 and previous and previous[-1] in ".!?。…」”\"»)؟।" and previous.rstrip(".!?。…”\"»)").lower() not in _ABBREVIATIONS and previous.rstrip(".").lower() not in _BEFORE_NUMBER and not (len(previous) == 2 and previous[1] == "."):
+        if kind in ("upper", "caseless") and len(token) <= 3 and previous and previous[-1] in _BEFORE_CLAIM and _ends(text, start, previous, before.start(1)):
             return -9.0  # the number of the claim that follows
         if kind == "upper" and previous.lower() in _BEFORE_ORDINAL:
             return -8.0
@@ -134,6 +150,8 @@ def _closing(text: str, start: int, at: int, kind: str, after: int) -> float:
             return 0.0  # the last sign of a formula
         if _NUMBER.fullmatch(previous) and low not in _NO_UNIT:
             return 0.0  # a unit
+        if _OPERATOR.fullmatch(previous):
+            return 0.0  # the last sign of a formula
         if previous.endswith("."):
             return 0.0 if previous.lower() + low in _CHAIN_MAY_END else -8.0
         if token.isupper() and len(previous) > 1 and previous[-1].isalpha():
@@ -288,6 +306,7 @@ def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
         pairs = sorted(rest + long)
         begins = [a for a, _ in pairs]
     found: list[tuple[int, float]] = []  # possible ends with their scores
+    marked: dict[int, tuple[int, int, bool]] = {}  # what the scores are of
     for a, b in marks:
         after, closed = b, False
         while after < end:
@@ -305,6 +324,7 @@ def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
         score = _score(text, start, end, a, b, after, closed)
         if score > _HOPELESS:
             found.append((after, score))
+            marked[after] = (a, b, closed)
     found += [(a, 3.0) for a, _ in spaces]
     if not found:
         out.append((start, end))
@@ -347,8 +367,12 @@ def _block(text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
             if value > top:
                 top, at = value, i
         far = kept
+        mark = marked.get(p)
         for i in range(near, j + 1):
             value = best[i] - (8.0 if letter[i] >= p else 0.0) - 0.1 * abs(log((p - starts[i]) / _USUAL))
+            if i and mark and mark[0] - starts[i] <= _CONTEXT:
+                # a short span: its closing words are judged without what is before it
+                value += _score(text, starts[i], end, mark[0], mark[1], p, mark[2]) - s
             if value > top:
                 top, at = value, i
         best.append(top - cuts + s)
@@ -410,3 +434,24 @@ def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[key, "start_at", "end_at"])
 
     return picked.mapInArrow(rows, f"`{key}` {kind}, start_at int, end_at int")
+
+
+def unit_faults(df: DataFrame) -> DataFrame:
+    """(uncovered, overlapping, outer_space), 0 or 1 each, of rows (doc_id, text, spans) with a text's units in order."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out: tuple[list[int], ...] = ([], [], [])
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                text, at, left, crossed, outer = text or "", 0, False, False, False
+                for x in spans or ():
+                    a, b = x["start_at"], x["end_at"]
+                    left |= bool(text[at:a].strip())
+                    crossed |= a < at or b <= a
+                    outer |= text[a:b] != text[a:b].strip()
+                    at = max(at, b)
+                for kept, fault in zip(out, (left or bool(text[at:].strip()), crossed, outer), strict=True):
+                    kept.append(int(fault))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["uncovered", "overlapping", "outer_space"])
+
+    return df.mapInArrow(rows, "uncovered long, overlapping long, outer_space long")
