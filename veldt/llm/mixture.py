@@ -7,14 +7,16 @@
 3. Flight: fractions move along the null space of the constraints (documents, tokens), three documents
    at a time, until one of them is 0 or 1; so both totals of the source stay exactly as planned. Every
    task keeps at most two open documents per source and streams over the rest: no shuffle.
-4. The open documents of all tasks, at most two per task and source, go through a second flight per
-   source; what is left then, at most two per source, is the landing problem, solved by enumeration.
+4. The open documents of all tasks, at most two per task and source, fly on in a tree: each level joins those
+   of up to ``fan_in`` / 2 tasks of the level before, so that no task meets more than ``fan_in`` of a source.
+   What is left at its root, at most two per source, is the landing problem, solved by enumeration.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -132,6 +134,7 @@ def mix_sources(
     ranks: str = RANKS,
     pattern: str = PATTERN,
     max_sources: int = 100_000,
+    fan_in: int = 2_000,
 ) -> tuple[DataFrame, list[SourcePlan]]:
     """((key, source, tokens, repeats) of the chosen documents, the plan per source).
 
@@ -181,16 +184,36 @@ def mix_sources(
             yield batch_of(out)
         yield batch_of([(k, s, t, None, p) for s, f in flights.items() for k, t, p in f.open])
 
-    def finish(frame: pd.DataFrame) -> pd.DataFrame:
+    def fly_on(frame: pd.DataFrame) -> pd.DataFrame:
+        return node_of_tree(frame, land=False)
+
+    def fly_home(frame: pd.DataFrame) -> pd.DataFrame:
+        return node_of_tree(frame, land=True)
+
+    def node_of_tree(frame: pd.DataFrame, land: bool) -> pd.DataFrame:
         frame = frame.sort_values([key, "tokens", "open"], kind="stable")
         flight = Flight(np.random.default_rng([seed, len(frame)]))
-        out = [x for row in frame.itertuples(index=False) for x in flight.feed(row[0], int(row[2]), float(row[4]))] + flight.land()
-        return pd.DataFrame({key: [x[0] for x in out], "source": frame["source"].iloc[0], "tokens": [x[1] for x in out], "extra": [x[2] for x in out]})
+        out = [(*x, None) for row in frame.itertuples(index=False) for x in flight.feed(row[0], int(row[2]), float(row[4]))]
+        out += [(*x, None) for x in flight.land()] if land else [(k, t, 0, p) for k, t, p in flight.open]
+        columns = dict(zip((key, "tokens", "extra", "open"), zip(*out, strict=True), strict=True)) if out else {c: [] for c in (key, "tokens", "extra", "open")}
+        return pd.DataFrame({**columns, "source": frame["source"].iloc[0]})[[key, "source", "tokens", "extra", "open"]].astype({"open": float})
 
     flown = scratch.write(counted.select(key, "source", "tokens").mapInArrow(fly, schema), "flown")
-    last = flown.filter("open IS NOT NULL").groupBy("source").applyInPandas(finish, f"`{key}` {kind}, source string, tokens long, extra int")
+    decided, still = [flown.filter("open IS NULL")], flown.filter("open IS NOT NULL")
+    level = 0
+    while True:
+        most = still.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        root = most <= fan_in
+        # so many nodes that the largest source's have some half of fan_in each
+        node = F.lit(0) if root else F.pmod(F.xxhash64(F.lit(level), key, "tokens", "open"), F.lit(-(-2 * most // fan_in)))
+        flew = still.groupBy("source", node.alias("node")).applyInPandas(fly_home if root else fly_on, schema)
+        flew = scratch.write(flew, f"level-{level}")
+        decided.append(flew.filter("open IS NULL"))
+        if root:
+            break
+        still, level = flew.filter("open IS NOT NULL"), level + 1
+    chosen = reduce(DataFrame.union, decided).select(key, "source", "tokens", "extra")
     base = F.create_map(*(F.lit(x) for s, n in (whole or {"": 0}).items() for x in (s, n)))
-    chosen = flown.filter("open IS NULL").select(key, "source", "tokens", "extra").union(last)
     return chosen.select(key, "source", "tokens", (base[F.col("source")] + F.col("extra")).cast("int").alias("repeats")).filter("repeats > 0"), plan
 
 
