@@ -7,13 +7,27 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import SparkContext, cloudpickle
+from pyspark.sql import functions as F
 
-from veldt.llm.leaks import align, leak_report, leaked_passages, normalise, points, scores, words
+from veldt.llm.leaks import Items, align, leak_report, leaked_passages, normalise, points, scores, words
 from veldt.llm.mixture import Flight, SourcePlan, mix_sources, mixture_shares, plan_mixture
 from veldt.llm.sentences import sentence_units, split_sentences
 from veldt.llm.tokens import RANKS, count_tokens
 
 
+CLAIMS = [
+    ["1. A sealed piston.", "2. Use of the piston according to claim 1.", "3. A kit with the piston of any of claims 1 to 2.", "4. A lid."],
+    ["4. Die Kappe nach einem der Ansprüche 1 bis 2, mit einer Platte von ca. 13,2 V.", "5. Ein Deckel nach Anspruch 4."],
+    ["1. A method of measuring V = 0.5·a² + b.", "2. The method of claim 1.", "3. A use."],
+]
+
+
+@pytest.mark.parametrize("want", CLAIMS, ids=range(len(CLAIMS)))
+def test_claim_numbers_belong_to_what_they_introduce(want):
+    assert units(" ".join(want)) == want
+
+
 def units(text):
     return [text[a:b] for a, b in sentence_units(text)]
 
@@ -187,13 +201,62 @@ def test_leaks_against_brute_force(spark):
     assert len(want) > 10
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, item_id int")
     i = spark.createDataFrame([*items, (500, None, "en"), (501, "short", None)], "item_id long, text string, lang string")
-    for block in (20_000, 7):
-        leaks = leaked_passages(d, i, block_items=block)
+    for block, edited in ((10_000_000, True), (900, False), (900, True), (10_000_000, False)):
+        leaks = leaked_passages(d, i, block_characters=block, edited=edited)
         assert Counter((r.doc_id, r.item_id) for r in leaks.filter("contains").collect()) == want
     assert {r.item_id: r.contained for r in leak_report(leaks.filter("contains")).collect()} == Counter(k for (_, k), n in want.items() for _ in range(n))
     assert leaked_passages(d.limit(0), i).count() == 0 and leaked_passages(d, i.limit(0)).count() == 0
 
 
+def test_blocks_of_items_are_bounded(spark, monkeypatch):
+    """Of 100,000 items a closure holds nothing, and a broadcast a block; all their passages are found."""
+    import veldt.llm.leaks as leaks
+
+    shared, sizes = [], []
+    broadcast = SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: shared.append(sum(len(b.codes) for b in value)) or broadcast(self, value))
+    frames = type(spark.range(1))
+    run = frames.mapInArrow
+    monkeypatch.setattr(frames, "mapInArrow", lambda self, f, *a, **k: sizes.append(len(cloudpickle.dumps(f))) or run(self, f, *a, **k))
+    text = F.concat_ws(" ", *(F.concat(F.lit(f"w{k}x"), "id") for k in range(12)))
+    items = spark.range(100_000).select(F.col("id").alias("item_id"), text.alias("text"), F.lit("en").alias("lang"))
+    docs = items.filter("item_id % 9973 = 0").select(F.col("item_id").alias("doc_id"), F.concat(F.lit("so "), "text", F.lit(" end")).alias("text"))
+    found = leaks.leaked_passages(docs, items, edited=False, block_characters=3_000_000).filter("contains")
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(k, k) for k in range(0, 100_000, 9973)}
+    assert len(shared) > 3 and max(shared) < 40_000 and sum(shared) == 100_000 and max(sizes) < 20_000
+
+
+def test_recall_of_copies_with_every_sixth_word_changed(spark):
+    """Beside exact copies, at random places: at least 0.95 are found."""
+    r = random.Random(12)
+    words_ = [f"w{k}" for k in range(3000)]
+    items = [(k, [r.choice(words_) for _ in range(60)]) for k in range(60)]
+    docs = [(k, " ".join(w)) for k, w in items]
+    for k, w in items:
+        changed = set(r.sample(range(60), 10))
+        docs.append((1000 + k, "intro " + " ".join("other" if j in changed else x for j, x in enumerate(w)) + " end"))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(k, " ".join(w), "en") for k, w in items], "item_id long, text string, lang string")
+    found = {(x.doc_id, x.item_id) for x in leaked_passages(d, i).collect()}
+    assert sum((1000 + k, k) in found for k, _ in items) >= 57 and all((k, k) in found for k, _ in items)
+
+
+def test_parts_near_seeds_keep_runs_and_scores():
+    r = random.Random(13)
+    items = Items([(k, " ".join(r.choice("abcdefgh") for _ in range(20))) for k in range(5)], False, 5, 10)
+    for _ in range(100):
+        codes = [r.randrange(9) for _ in range(r.randrange(400))]
+        k = r.randrange(5)
+        at, n = r.randrange(len(codes) + 1), r.randrange(21)
+        doc = np.array(codes[:at] + items.codes[k][:n].tolist() + codes[at:], dtype=np.int64)
+        (part,) = items.near(doc, [k])
+        score, run = align(doc, items.codes[k])
+        if run >= 5:
+            assert align(part, items.codes[k])[1] == run
+        if run >= 5 and score >= 20:
+            assert align(part, items.codes[k])[0] == score
+
+
 def test_edited_copies_are_scored(spark):
     passage = "when the rigid carrier had rested at fourteen degrees the observers compared every bearing from that batch with the older ones".split()
     edited = [w if k % 7 != 6 else "something" for k, w in enumerate(passage)]
@@ -291,3 +354,8 @@ def test_mixture(spark):
     assert sorted(map(tuple, mix_sources(df, targets)[0].collect())) == sorted(map(tuple, rows))
     assert mix_sources(df.limit(0), targets)[0].count() == 0 and mix_sources(df, targets.limit(0))[0].count() == 0
     assert isinstance(plan[0], SourcePlan)
+    # the open documents of 40 tasks, in a tree of nodes with about four each
+    deep, _ = mix_sources(df.repartition(40), targets, fan_in=8)
+    again = {x.source: x for x in mixture_shares(deep, plan).collect()}
+    for s in ("a", "b", "c", "other"):
+        assert abs(again[s].mixed_tokens - shares[s].mixed_tokens) <= 120 and again[s].most_repeats <= limits[s]

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from veldt.llm.groups import group_sizes, link_groups
 from veldt.llm.kmv import cube_sets, cube_sketches, distinct_counts, distinct_cube, mark_known, merge_groups
-from veldt.llm.leaks import leak_report, leaked_passages
+from veldt.llm.leaks import leak_report, leaked_passages, windows_in
 from veldt.llm.mixture import mix_sources, mixture_shares
-from veldt.llm.sentences import split_sentences
+from veldt.llm.sentences import split_sentences, unit_faults
 from veldt.llm.topn import top_n
 from veldt.operators.sizing import broadcast_if_small
 from veldt.plans.materialize import Scratch
@@ -103,6 +103,19 @@ def p7_item_report(spark: SparkSession, d: str) -> DataFrame:
     return leak_report(p7_edited_copies(spark, d))
 
 
+def p7_against_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of :func:`p7_found` without a common window, and common windows that it lacks: none.
+
+    A common window is looked for by brute force: all windows of an item as strings in a set.
+    """
+    items = table(spark, d, "eval_items").select("item_id", "text", "lang").collect()  # a fixed number of test items
+    exact = windows_in(table(spark, d, "documents"), [(r.item_id, r.text, r.lang) for r in items])
+    found = p7_found(spark, d)
+    wrong = found.join(exact, ["doc_id", "item_id"], "left_anti").agg(F.count(F.lit(1)).alias("wrong"))
+    missed = exact.join(found, ["doc_id", "item_id"], "left_anti").agg(F.count(F.lit(1)).alias("missed"))
+    return wrong.crossJoin(F.broadcast(missed))  # a row each
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
@@ -111,11 +124,34 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture_shares(*mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")))
 
 
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Sources with a target and documents whose reached share is within 0.005, and sources used beyond their limit."""
+    x = p8_shares(spark, d)
+    met = F.count_if((F.col("target_share") > 0) & (F.col("tokens") > 0) & (F.abs(F.col("reached_share") - F.col("target_share")) <= 0.005))
+    return x.agg(met.alias("targets_met"), F.count_if(F.col("most_repeats") > F.col("max_repeats")).alias("over_limit"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_heavy_groups, p4_distinct_counts, p4_exact_groups, p4_sketches, p4_month_counts, p4_bounds, p6_found, p6_group_sizes, p7_found, p7_edited_copies, p7_item_report, p8_mix, p8_shares, p9_found)}
+def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with a visible character outside of all units, with overlapping or unordered units, or with one that has outer white space: none."""
+    docs = table(spark, d, "documents")
+    units = p9_found(spark, d)
+    spans = units.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_at", "end_at"))).alias("spans"))  # of one text
+    checked = unit_faults(docs.select("doc_id", "text").join(spans, "doc_id", "left"))
+    return checked.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("uncovered", "overlapping", "outer_space")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p2_found, p2_heavy_groups, p4_distinct_counts, p4_exact_groups, p4_sketches, p4_month_counts,
+        p4_bounds, p6_found, p6_group_sizes, p7_found, p7_edited_copies, p7_item_report,
+        p7_against_windows, p8_mix, p8_shares, p8_limits, p9_found, p9_invariants,
+    )
+}
 
 _GROUPS = """
 WITH RECURSIVE arcs AS (
@@ -150,6 +186,11 @@ WHERE r <= 10"""
 _EVERY = " UNION ALL ".join(map(_grouped, cube_sets(list(_DIMS)))).replace("< 4096", ">= 4096")
 
 SQL = {
+    "p7_against_windows": "SELECT 0 AS wrong, 0 AS missed",
+    "p8_limits": """
+SELECT count(*) AS targets_met, 0 AS over_limit FROM mix_targets
+WHERE target_share > 0 AND max_repeats > 0 AND lower(trim(source)) IN (SELECT lower(trim(source)) FROM documents WHERE length(trim(text)) > 0)""",
+    "p9_invariants": "SELECT 0 AS uncovered, 0 AS overlapping, 0 AS outer_space",
     "p4_bounds": _COUNTS + f"SELECT count(*) AS estimates, true AS bounds_hold FROM ({_EVERY}) g",
     "p4_month_counts": _COUNTS
     + "SELECT substr(day, 1, 7) AS month, relation, what, scope, CAST(count(DISTINCT id) AS DOUBLE) AS estimate FROM z GROUP BY substr(day, 1, 7), relation, what, scope HAVING count(DISTINCT id) < 4096",
