@@ -192,6 +192,15 @@ def test_intermediates_are_deleted(spark, graph):
     assert set(root.iterdir()) == before
 
 
+def test_checkpoint_folder_and_output_of_a_program(spark, graph, tmp_path):
+    kept, out = f"file://{tmp_path}/kept", f"file://{tmp_path}/out"
+    p = _maximum(graph([1, 2], [(2, 1)])).max_iterations(1).checkpoint_dir(kept)
+    assert values(p.run(output=out).df, "v") == {1: 2, 2: 2} and values(spark.read.parquet(out), "v") == {1: 2, 2: 2}
+    assert list((tmp_path / "kept" / "veldt").iterdir())
+    with pytest.raises(ValueError, match="overlap"):
+        p.run(output=f"{kept}/result")
+
+
 def test_failing_superstep_releases_the_cache(spark, graph):
     kept = len(spark.sparkContext._jsc.getPersistentRDDs())
     p = graph([1], [(1, 1)]).vertex_program().max_iterations(2).add_vertex_column("v", F.lit(1), F.raise_error(F.lit("no"))).add_message(F.lit(1), OUT).add_aggregate_expr(F.sum(msg()))

@@ -35,6 +35,9 @@ def _parser() -> argparse.ArgumentParser:
     common.add_argument("--id-col-name", default="id")
     common.add_argument("--src-col-name", default="src")
     common.add_argument("--dst-col-name", default="dst")
+    common.add_argument("--vertex-schema", help="columns and types, say 'id long'; without it text formats are read twice")
+    common.add_argument("--edge-schema", help="columns and types, say 'src long, dst long'")
+    common.add_argument("--no-output-check", action="store_true", help="allow an output folder beside intermediates")
     common.add_argument("--symmetrize", action="store_true")
     common.add_argument("--weighted", action="store_true")
     common.add_argument("--weight-col-name", default="weight")
@@ -94,8 +97,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.checkpoint_dir:
             builder = builder.config("spark.checkpoint.dir", a.checkpoint_dir)
         spark = builder.getOrCreate()
-    validate_output(a.output, shared_dir(spark))
-    graph = read_graph(spark, a.vertices, a.edges, a.format, id_col=a.id_col_name, src_col=a.src_col_name, dst_col=a.dst_col_name, weighted=a.weighted, weight_col=a.weight_col_name, symmetrize=a.symmetrize)
+    if not a.no_output_check:
+        validate_output(a.output, shared_dir(spark))
+    graph = read_graph(
+        spark,
+        a.vertices,
+        a.edges,
+        a.format,
+        id_col=a.id_col_name,
+        src_col=a.src_col_name,
+        dst_col=a.dst_col_name,
+        weighted=a.weighted,
+        weight_col=a.weight_col_name,
+        symmetrize=a.symmetrize,
+        vertex_schema=a.vertex_schema,
+        edge_schema=a.edge_schema,
+    )
     result = _run(graph, a)
     write_result(result.df, a.output)
     print(f"{a.algorithm}: {result.iterations} iterations, written to {a.output}", file=sys.stderr)

@@ -85,9 +85,9 @@ def intermediates():
 class Scratch:
     """Written intermediate tables of one operator run."""
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, folder: str | None = None):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/veldt/{label}-{uuid.uuid4().hex}"
+        self.root = f"{(folder or shared_dir(spark)).rstrip('/')}/veldt/{label}-{uuid.uuid4().hex}"
         self._paths: dict[str, str] = {}
         self._count = 0
         _until_exit(spark, self.root)

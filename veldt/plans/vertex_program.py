@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldt.graph import DST, ID, SRC, Graph
-from veldt.plans.materialize import Generations, Scratch, keep, loop_partitions, rebound, static_session
+from veldt.plans.materialize import Generations, Scratch, keep, loop_partitions, rebound, shared_dir, static_session, validate_output
 
 _SRC, _DST, _EDGE, _MSG = "__vp_src_", "__vp_dst_", "__vp_edge_", "__vp_msg_"
 
@@ -118,6 +118,7 @@ class VertexProgram:
         self._fuse = False
         self._duplicates = False
         self._hub_rows: int | None = None
+        self._folder: str | None = None
 
     def max_iterations(self, n: int) -> VertexProgram:
         """At most ``n`` supersteps; 0 only evaluates the initial state."""
@@ -134,6 +135,11 @@ class VertexProgram:
         self._hub_rows = n
         return self
 
+    def checkpoint_dir(self, path: str) -> VertexProgram:
+        """Write the tables of the run under this shared folder instead of the session's; cuts of lineage stay in the session's."""
+        self._folder = path
+        return self
+
     def with_vertex_voting(self, column: str, condition: Column) -> VertexProgram:
         """Stop once ``condition``, evaluated with the updates, holds for no vertex; null counts as false."""
         self._voting = (column, condition)
@@ -268,10 +274,16 @@ class VertexProgram:
             met = met.join(few, ID, "left").withColumns({c: F.coalesce("__hot_" + c, c) for c in names})
         return met.select(*updated)
 
-    def run(self, debug: bool = False) -> ProgramResult:
-        """Run to the end. ``debug`` keeps the voting and participation columns in the result."""
+    def run(self, debug: bool = False, output: str | None = None) -> ProgramResult:
+        """Run to the end. ``debug`` keeps the voting and participation columns in the result.
+
+        With ``output`` the result is written there as parquet, and read from there; the folder must not
+        overlap that of the intermediates.
+        """
         self._validate()
         spark = self.graph.spark
+        if output is not None:
+            validate_output(output, self._folder or shared_dir(spark))
         names = [n for n, _, _ in self._columns]
         state = self.graph.vertices
         for n, initial, _ in self._columns:
@@ -288,7 +300,7 @@ class VertexProgram:
             return ProgramResult(state.select(*(list(dict.fromkeys([*self.graph.vertices.columns, *names, *flags])) if debug else wanted)), 0)
         state = state.select(ID, *names, *flags)
 
-        scratch = Scratch(spark, "vertex-program")
+        scratch = Scratch(spark, "vertex-program", self._folder)
         edges = scratch.write(edges, "edges")
         rows = edges.count()  # from the files' footers
         partitions = loop_partitions(spark, rows)
@@ -304,7 +316,12 @@ class VertexProgram:
                 done += 1
                 if self._voting and not votes[0]:
                     break
-            result = scratch.write(rebound(state.select(*wanted), spark), "result")
+            result = rebound(state.select(*wanted), spark)
+            if output is None:
+                result = scratch.write(result, "result")
+            else:
+                result.write.parquet(output)
+                result = spark.read.schema(result.schema).parquet(output)
         finally:
             for df in cached:
                 df.unpersist()

@@ -23,11 +23,11 @@ A, B = 0x1234567890ABCDEF, 0x0FEDCBA987654321
 
 
 def num_nodes(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
-    return graph(spark, d).vertices.agg(F.count(F.lit(1)).alias("nodes"))
+    return spark.createDataFrame([(graph(spark, d).num_nodes(),)], "nodes long")
 
 
 def num_edges(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
-    return graph(spark, d).edges.agg(F.count(F.lit(1)).alias("edges"))
+    return spark.createDataFrame([(graph(spark, d).num_edges(),)], "edges long")
 
 
 def in_degrees(spark: SparkSession, d: str, graph: Source = parts_seq) -> DataFrame:
@@ -224,7 +224,7 @@ _SPARSE, _DENSE = _TRADE.format(where="l_quantity >= 49 AND l_discount >= 0.08")
 _CHAIN = """
 e AS MATERIALIZED (SELECT * FROM (SELECT event_id AS src, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) x WHERE dst IS NOT NULL),
 v AS MATERIALIZED (SELECT event_id AS id FROM events)"""
-_LINKS = """
+LINKS_SQL = """
 e AS MATERIALIZED (SELECT src, dst, weight, relation FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL),
 v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e UNION SELECT id FROM vertices WHERE id IS NOT NULL)"""
 
@@ -290,10 +290,10 @@ SQL = {
     "num_edges": f"WITH {_PARTS} SELECT count(*) AS edges FROM e",
     "in_degrees": f"WITH {_PARTS} " + _degree("dst", "in_degree"),
     "in_degrees_zero": f"WITH {_PARTS} " + _degree_zero("dst", "in_degree"),
-    "out_degrees": f"WITH {_LINKS} " + _degree("src", "out_degree"),
-    "out_degrees_zero": f"WITH {_LINKS} " + _degree_zero("src", "out_degree"),
-    "symmetrize": f"WITH {_LINKS} SELECT src, dst, relation, count(*) AS n FROM (SELECT src, dst, relation FROM e UNION ALL SELECT dst, src, relation FROM e) x GROUP BY src, dst, relation",
-    "symmetrize_simple": f"WITH {_LINKS} SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst",
+    "out_degrees": f"WITH {LINKS_SQL} " + _degree("src", "out_degree"),
+    "out_degrees_zero": f"WITH {LINKS_SQL} " + _degree_zero("src", "out_degree"),
+    "symmetrize": f"WITH {LINKS_SQL} SELECT src, dst, relation, count(*) AS n FROM (SELECT src, dst, relation FROM e UNION ALL SELECT dst, src, relation FROM e) x GROUP BY src, dst, relation",
+    "symmetrize_simple": f"WITH {LINKS_SQL} SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst",
     "triplets": """WITH n AS (SELECT id, min(name) AS name FROM vertices WHERE id IS NOT NULL GROUP BY id)
 SELECT a.name AS src_name, edges.relation, b.id IS NULL AS dangling, count(*) AS n FROM edges LEFT JOIN n a ON a.id = edges.src LEFT JOIN n b ON b.id = edges.dst GROUP BY a.name, edges.relation, b.id IS NULL""",
     "vertex_program_in_degree": f"WITH {_PARTS} " + _degree_zero("dst", "degree"),
@@ -331,12 +331,12 @@ FROM lineitem GROUP BY l_partkey, l_suppkey) x WHERE rn = 1""",
 }
 # the same over the whole edges table; paths, components, k-core and neighbourhoods are out of reach there
 SQL |= {
-    f"links_{name}": SQL[name].replace(_PARTS, _LINKS)
+    f"links_{name}": SQL[name].replace(_PARTS, LINKS_SQL)
     for name in ("num_nodes", "num_edges", "in_degrees", "in_degrees_zero", "vertex_program_in_degree", "vertex_program_out_degree", "vertex_program_named_messages", "mis_invariants")
 } | {
-    "links_vertex_program_bidirectional": SQL["vertex_program_bidirectional"].replace(_SPARSE, _LINKS),
-    "links_pagerank_fixed": _pagerank(10, 0.0, _LINKS),
-    "links_pagerank_pruned": _pagerank(8, 0.01, _LINKS),
-    "links_label_propagation": _labels(5, True, _LINKS),
-    "links_label_propagation_directed": _labels(4, False, _LINKS),
+    "links_vertex_program_bidirectional": SQL["vertex_program_bidirectional"].replace(_SPARSE, LINKS_SQL),
+    "links_pagerank_fixed": _pagerank(10, 0.0, LINKS_SQL),
+    "links_pagerank_pruned": _pagerank(8, 0.01, LINKS_SQL),
+    "links_label_propagation": _labels(5, True, LINKS_SQL),
+    "links_label_propagation_directed": _labels(4, False, LINKS_SQL),
 }

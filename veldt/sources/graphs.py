@@ -40,9 +40,13 @@ def read_graph(
     weighted: bool = False,
     weight_col: str = "weight",
     symmetrize: bool = False,
+    vertex_schema: T.StructType | str | None = None,
+    edge_schema: T.StructType | str | None = None,
 ) -> Graph:
     """A graph of the mapped key columns, with the weight under its own name where ``weighted``.
 
+    With schemas, CSV and JSON files are not read to infer any.
+
     Text formats infer 32-bit integers for small ids: keys of CSV are widened, other types are checked.
     """
 
@@ -50,7 +54,7 @@ def read_graph(
         narrow = fmt == "csv" and df.schema[column].dataType == T.IntegerType()
         return (F.col(column).cast("long") if narrow else F.col(column)).alias(name)
 
-    v, e = read_data(spark, vertices, fmt), read_data(spark, edges, fmt)
+    v, e = read_data(spark, vertices, fmt, vertex_schema), read_data(spark, edges, fmt, edge_schema)
     more = [F.col(weight_col)] if weighted else []
     graph = Graph(v.select(key(v, id_col, "id")), e.select(key(e, src_col, "src"), key(e, dst_col, "dst"), *more))
     return graph.symmetrize() if symmetrize else graph
